@@ -33,12 +33,14 @@ def importer_counts(files: DataFrame, imports: DataFrame) -> DataFrame:
 
 def criticality(path: Column, importers: Column) -> Column:
     """Path class first; then five importers make a file core, three important."""
-    by_path = paths.path_criticality(path)
+    low = F.lower(path)
     return (
-        F.when(by_path.isin("core", "important"), by_path)
+        F.when(any_contains(low, paths.CORE_DIRS), F.lit("core"))
+        .when(any_contains(low, paths.IMPORTANT_DIRS), F.lit("important"))
         .when(importers >= 5, F.lit("core"))
         .when(importers >= 3, F.lit("important"))
-        .otherwise(by_path)
+        .when(any_contains(low, paths.STANDARD_DIRS), F.lit("standard"))
+        .otherwise(F.lit("peripheral"))
     )
 
 

@@ -24,10 +24,8 @@ TOP_K_DEPTH = 20_000
 
 def rank_of(column: Column, order: Sequence[str]) -> Column:
     """Position of a value in an ordered vocabulary; unknown values come last."""
-    out = F.when(column == order[0], F.lit(0))
-    for i, value in enumerate(order[1:], 1):
-        out = out.when(column == value, F.lit(i))
-    return out.otherwise(F.lit(len(order)))
+    place = F.array_position(F.array(*[F.lit(v) for v in order]), column)
+    return ((F.coalesce(place, F.lit(0)) + len(order)) % (len(order) + 1)).cast("int")
 
 
 def at_least(column: Column, minimum: str, order: Sequence[str]) -> Column:

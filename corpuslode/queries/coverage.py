@@ -181,9 +181,9 @@ def critical_coverage_gaps(spark, sf):
 
 
 @query("F4 W2 W7", lambda: f"""WITH {gap_ctes()},
-k AS (SELECT *, CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END AS p, -complexity AS c, length(path) * 20 AS tokens FROM gaps WHERE priority IN ('critical','high','medium')),
+k AS (SELECT *, CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END AS p, -complexity AS c, length(path) * 20 AS cost FROM gaps WHERE priority IN ('critical','high','medium')),
 r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY p, c, path) AS rank, count(*) OVER (PARTITION BY project) AS total_items FROM k),
-s AS (SELECT project, CAST(least(50, greatest(5, floor(20000 / avg(tokens)))) AS INT) AS page_size FROM r WHERE rank <= 3 GROUP BY project)
+s AS (SELECT project, CAST(least(50, greatest(5, floor(20000 / avg(cost)))) AS INT) AS page_size FROM r WHERE rank <= 3 GROUP BY project)
 SELECT project, path, priority, CAST(rank AS INT) AS rank, total_items, page_size FROM r JOIN s USING (project) WHERE rank <= page_size""")
 def coverage_gap_pages(spark, sf):
     """First page of gaps of at least medium priority; its size follows the rows' size."""

@@ -91,30 +91,35 @@ def parse_istanbul(reports: DataFrame, content: str = "content", root: str = "")
     """
     keep = [c for c in reports.columns if c != content]
     found = reports.select(*keep, F.explode(F.from_json(content, ISTANBUL)).alias("file", "c"))
-    s, f, b = F.col("c.s"), F.col("c.f"), F.col("c.b")
-    empty = F.array().cast("array<struct<key:string,value:bigint>>")
-    entries = lambda m: F.coalesce(F.map_entries(m), empty)
-    located = F.transform(entries(s), lambda e: F.struct(
-        F.col("c.statementMap")[e["key"]]["start"]["line"].cast("string").alias("key"), e["value"].alias("value")))
-    names = F.array_distinct(F.transform(located, lambda e: e["key"]))
-    by_line = F.transform(names, lambda n: F.struct(
-        n.alias("key"), F.array_max(F.transform(F.filter(located, lambda e: e["key"] == n), lambda e: e["value"])).alias("value")))
-    lines = F.coalesce(F.map_entries(F.col("c.l")), F.filter(by_line, lambda e: e["key"].isNotNull()), empty)
-    arms = F.flatten(F.coalesce(F.map_values(b), F.array().cast("array<array<bigint>>")))
+    counters = "array<struct<key:string,value:bigint>>"
+    entries = lambda m: F.coalesce(F.map_entries(m), F.array().cast(counters))
+    located = F.transform(entries(F.col("c.s")), lambda e: F.struct(
+        F.col("c.statementMap")[e["key"]]["start"]["line"].alias("line"), e["value"].alias("value")))
+    arms = F.flatten(F.coalesce(F.map_values(F.col("c.b")), F.array().cast("array<array<bigint>>")))
+    found = found.select(
+        *keep, "file",
+        F.map_entries(F.col("c.l")).alias("given"), entries(F.col("c.s")).alias("s"), entries(F.col("c.f")).alias("f"),
+        arms.alias("arms"), F.array_sort(F.filter(located, lambda e: e["line"].isNotNull())).alias("located"),
+        F.col("c.fnMap").alias("names"),
+    )
+    # Sorted by line and hits, the last statement of a line carries its most hits.
+    last = F.filter("located", lambda e, i: F.coalesce(F.get("located", i + 1)["line"] != e["line"], F.lit(True)))
+    derived = F.transform(last, lambda e: F.struct(e["line"].cast("string").alias("key"), e["value"].alias("value")))
+    found = found.withColumn("lines", F.coalesce("given", derived))
     hit = lambda xs: F.size(F.filter(xs, lambda e: e["value"] > 0))
     counts = {
-        "lines": (F.size(lines), hit(lines)),
-        "functions": (F.size(entries(f)), hit(entries(f))),
-        "branches": (F.size(arms), F.size(F.filter(arms, lambda x: x > 0))),
-        "statements": (F.size(entries(s)), hit(entries(s))),
+        "lines": (F.size("lines"), hit("lines")),
+        "functions": (F.size("f"), hit("f")),
+        "branches": (F.size("arms"), F.size(F.filter("arms", lambda x: x > 0))),
+        "statements": (F.size("s"), hit("s")),
     }
     zero = lambda xs: F.transform(F.filter(xs, lambda e: e["value"] == 0), lambda e: e["key"])
     return found.select(
         *keep,
         (relative_to(F.col("file"), root) if root else F.col("file")).alias("path"),
         *_columns(counts),
-        F.transform(zero(lines), lambda x: x.cast("bigint")).alias("uncovered_lines"),
-        F.transform(zero(entries(f)), lambda k: F.coalesce(F.col("c.fnMap")[k]["name"], k)).alias("uncovered_functions"),
+        F.transform(zero("lines"), lambda x: x.cast("bigint")).alias("uncovered_lines"),
+        F.transform(zero("f"), lambda k: F.coalesce(F.col("names")[k]["name"], k)).alias("uncovered_functions"),
     )
 
 
