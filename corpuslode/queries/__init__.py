@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["security", "facts", "graph", "coverage"]
+AREAS = ["security", "facts", "graph", "coverage", "conventions"]
 
 
 def load():
