@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["security", "facts", "graph", "coverage", "conventions", "context", "advisories"]
+AREAS = ["security", "facts", "graph", "coverage", "conventions", "context", "advisories", "patterns", "architecture", "streaming"]
 
 
 def load():

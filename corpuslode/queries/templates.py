@@ -8,6 +8,11 @@ from __future__ import annotations
 
 PROJECTS = 7
 
+def _branches(n: int) -> str:
+    """``n`` branches with a logical operator each, for files of a chosen complexity."""
+    return "".join(f"    if (w > {i} && h < {i}) {{ w += {i}; }}\n" for i in range(n))
+
+
 # (path, body); the n-th file of a project uses the template n modulo their number.
 TEMPLATES: list[tuple[str, str]] = [
     ("src/services/api@ID@.ts", """import axios from 'axios';
@@ -329,7 +334,8 @@ const orderConsumer = kafka.consumer({ groupId: 'g@ID@' });
 
 export async function run@ID@() {
   await orderConsumer.subscribe({ topics: ['orders', 'refunds'] });
-  await orderProducer.send({ topic: 'audit', messages: [] });
+  let w = 1, h = 2;
+""" + _branches(5) + """  await orderProducer.send({ topic: 'audit', messages: [] });
   await Task().fromKafka(orderConsumer).keyBy(x => x).tumblingWindowTime(60).aggregate('n').toStorage('s');
 }
 """),
@@ -359,7 +365,7 @@ export class MathTools@ID@ {
     do { w--; } while (w > h || h > 9);
     for (const k of [1, 2]) { h += k; }
     for (let j = 0; j < w; j++) { if (j === h) { break; } else if (j > 99) { continue; } }
-    return path.join(String(w), lodash.noop(h));
+""" + _branches(14) + """    return path.join(String(w), lodash.noop(h));
   }
 }
 """),
