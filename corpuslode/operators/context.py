@@ -85,10 +85,10 @@ def term_matches(files: DataFrame, terms: DataFrame) -> DataFrame:
     wanted = terms.select("term").distinct()
     plain = wanted.filter(F.col("term").rlike(r"^\w+$"))
     word_list = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\w+"), F.lit(0))
-    spoken = files.select("project", "path", F.explode(F.concat(
+    spoken = files.select("project", "path", F.explode_outer(F.concat(
         F.transform(word_list("content"), lambda w: F.struct(w.alias("word"), F.lit(False).alias("in_path"))),
         F.transform(word_list("path"), lambda w: F.struct(w.alias("word"), F.lit(True).alias("in_path"))),
-    )).alias("w")).select("project", "path", "w.word", "w.in_path")
+    )).alias("w")).filter("w IS NOT NULL").select("project", "path", "w.word", "w.in_path")
     counted = spoken.groupBy("project", "path", "word", "in_path").agg(F.count(F.lit(1)).alias("times"))
 
     # A word can hold a term only if it holds the term's first characters.

@@ -168,7 +168,8 @@ def violations(files: DataFrame, conventions: DataFrame, grouping: bool = True,
                f"named_struct('s', {source}, 'n', at[0] + i)), s -> {offends}), s -> {style}) END")
     single = f"filter(array({', '.join(cases)}), x -> x IS NOT NULL)"
     found = F.expr(f"concat(cast({single} AS {ROW}), coalesce(cast({imports} AS {ROW}), array()))")
-    return df.select("project", "path", "framework", F.explode(found).alias("v")).select("project", "path", "framework", "v.*")
+    return df.select("project", "path", "framework", F.explode_outer(found).alias("v")).filter("v IS NOT NULL").select(
+        "project", "path", "framework", "v.*")
 
 
 def consistency_scores(found: DataFrame, projects: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ def import_rows(files: DataFrame) -> DataFrame:
     """One row per import declaration, in file order."""
     return (
         with_imports(files)
-        .select("project", "path", F.posexplode("imports").alias("position", "import"))
+        .select("project", "path", F.posexplode_outer("imports").alias("position", "import"))
+        .filter("import IS NOT NULL")
         .select("project", "path", "position", F.col("import.source").alias("source"),
                 F.col("import.specifiers").alias("specifiers"))
     )

@@ -54,13 +54,18 @@ def resolve_imports(files: DataFrame, imports: DataFrame | None = None) -> DataF
     source = F.col("source")
     joined = F.when(source.startswith("/"), source).otherwise(F.concat(paths.dirname(F.col("path")), F.lit("/"), source))
     local = source.startswith(".") | source.startswith("/")
-    keyed = imports.withColumn("external", ~local).withColumn("key", F.when(local, paths.normalize_path(joined)))
-    return keyed.join(import_targets(files), ["project", "key"], "left").drop("key")
+    # Packages cannot match a file; keeping them out of the join keeps their null keys off one task.
+    inside = imports.filter(local).withColumn("external", F.lit(False)).withColumn("key", paths.normalize_path(joined))
+    found = inside.join(import_targets(files), ["project", "key"], "left").drop("key")
+    outside = imports.filter(~local).withColumn("external", F.lit(True)).withColumn("target", F.lit(None).cast("string"))
+    return found.unionByName(outside)
 
 
 def import_edges(files: DataFrame, include_external: bool = False) -> DataFrame:
     """Edges between files; with ``include_external`` packages are targets too."""
     resolved = resolve_imports(files)
+    if not include_external:
+        resolved = resolved.filter("NOT external")
     target = F.coalesce("target", F.when(F.col("external"), F.col("source"))) if include_external else F.col("target")
     return resolved.withColumn("dst", target).filter("dst IS NOT NULL").select(
         "project",

@@ -137,7 +137,9 @@ def rule_hits(rule: Rule) -> str:
 def scan(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """All hits of ``rules``: ``(project, path, rule_id, line, matched, value, snippet)``.
 
-    ``files`` needs ``project, path, content, framework``.
+    ``files`` needs ``project, path, content, framework``.  The outer explode keeps
+    the optimizer from testing the size of the array first, which would run every
+    regex twice.
     """
     prepared = with_imports(files.select("project", "path", "content", "framework"))
     prepared = prepared.withColumn("lowered", F.lower(F.col("content"))).withColumn(
@@ -146,7 +148,8 @@ def scan(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     found = ", ".join(rule_hits(rule) for rule in rules)
     hits = F.expr(f"flatten(filter(array({found}), x -> x IS NOT NULL))")
     return (
-        prepared.select("project", "path", "framework", F.explode(hits).alias("hit"))
+        prepared.select("project", "path", "framework", F.explode_outer(hits).alias("hit"))
+        .filter("hit IS NOT NULL")
         .select("project", "path", "framework", "hit.*")
     )
 

@@ -123,7 +123,7 @@ def _files(spark, sf):
 def _gaps(spark, sf):
     files = _files(spark, sf)
     measured = facts.file_facts(files)
-    named = measured.select("project", "path", F.explode("imports").alias("i")).select("project", "path", F.col("i.source").alias("source"))
+    named = facts.import_rows(files).select("project", "path", "source")
     return cv.coverage_gaps(measured, _coverage(spark, sf), cv.importer_counts(measured, named))
 
 
