@@ -69,14 +69,29 @@ def _sample(files: DataFrame, n: int | None) -> DataFrame:
     return top_k(files, ["project"], [F.col("path")], n).drop("rank") if n else files
 
 
+IMPORT_SOURCES = r"""regexp_extract_all(content, 'import\\s+.*\\s+from\\s+[\'"](.+)[\'"]', 1)"""
+
+
+def _import_votes(relative: str, absolute: str) -> list[Column]:
+    return [
+        F.sum(F.expr("size(filter(s, x -> startswith(x, '.')))")).alias(relative),
+        F.sum(F.expr("size(filter(s, x -> NOT startswith(x, '.') AND NOT rlike(x, '^[a-z@]')))")).alias(absolute),
+    ]
+
+
+def _quote_votes(column: str, single: str, double: str) -> list[Column]:
+    return [
+        F.sum(F.regexp_count(column, F.lit(r"'[^'\n]*'"))).alias(single),
+        F.sum(F.regexp_count(column, F.lit(r'"[^"\n]*"'))).alias(double),
+    ]
+
+
 def import_style(files: DataFrame, sample_files: int | None = None, per_file: int | None = None) -> DataFrame:
     """Relative or absolute imports by vote; package names do not vote."""
-    found = F.expr(r"""regexp_extract_all(content, 'import\\s+.*\\s+from\\s+[\'"](.+)[\'"]', 1)""")
+    found = F.expr(IMPORT_SOURCES)
     found = F.slice(found, 1, per_file) if per_file else found
     per = _sample(files, sample_files).select("project", found.alias("s"))
-    counted = per.groupBy("project").agg(
-        F.sum(F.expr("size(filter(s, x -> startswith(x, '.')))")).alias("a"),
-        F.sum(F.expr("size(filter(s, x -> NOT startswith(x, '.') AND NOT rlike(x, '^[a-z@]')))")).alias("b"))
+    counted = per.groupBy("project").agg(*_import_votes("a", "b"))
     return _vote(counted, "imports", "Import style", "relative", "absolute")
 
 
@@ -84,22 +99,27 @@ def quote_style(files: DataFrame, sample_files: int | None = None, lines: int |
     """Single or double quotes by vote over the literals of every line."""
     body = F.col("content")
     body = F.substring_index(body, "\n", lines) if lines else body
-    counted = _sample(files, sample_files).select("project", body.alias("t")).groupBy("project").agg(
-        F.sum(F.regexp_count("t", F.lit(r"'[^'\n]*'"))).alias("a"), F.sum(F.regexp_count("t", F.lit(r'"[^"\n]*"'))).alias("b"))
+    counted = _sample(files, sample_files).select("project", body.alias("t")).groupBy("project").agg(*_quote_votes("t", "a", "b"))
     return _vote(counted, "style", "Quote style", "single", "double")
 
 
 def effective_conventions(files: DataFrame) -> DataFrame:
-    """One row per project: what was detected, else the defaults."""
-    frameworks = files.groupBy("project").agg(F.max("framework").alias("framework"))
-    pick = lambda df, name: df.select("project", F.col("pattern").alias(name))
-    return (
-        frameworks.join(pick(component_casing(files), "c"), "project", "left")
-        .join(pick(import_style(files), "import_style"), "project", "left")
-        .join(pick(quote_style(files), "q"), "project", "left")
-        .select("project", "framework", F.coalesce("c", F.lit("PascalCase")).alias("component_casing"),
-                F.coalesce("import_style", F.lit("mixed")).alias("import_style"), F.coalesce("q", F.lit("single")).alias("quotes"))
-    )
+    """One row per project: what was detected, else the defaults.
+
+    Both text votes are counted in the same pass over the files.
+    """
+    imports = F.expr(IMPORT_SOURCES)
+    counted = files.select("project", "framework", "content", imports.alias("s")).groupBy("project").agg(
+        F.max("framework").alias("framework"), *_import_votes("ra", "ab"), *_quote_votes("content", "sq", "dq"))
+
+    def winner(a, b, first, second, none):
+        total = F.col(a) + F.col(b)
+        return F.when(total == 0, none).when(F.col(a) / total > MAJORITY, first).when(F.col(b) / total > MAJORITY, second).otherwise("mixed")
+
+    casing = component_casing(files).select("project", F.col("pattern").alias("c"))
+    return counted.join(casing, "project", "left").select(
+        "project", "framework", F.coalesce("c", F.lit("PascalCase")).alias("component_casing"),
+        winner("ra", "ab", "relative", "absolute", "mixed").alias("import_style"), winner("sq", "dq", "single", "double", "single").alias("quotes"))
 
 
 ROW = ("array<struct<line:int,category:string,severity:string,rule:string,expected:string,actual:string,"

@@ -106,7 +106,10 @@ def _take_pages(df, keys, order, info, depth) -> DataFrame:
         ranked = top_k(df, keys, [F.col(c) for c in order], depth)
     else:
         ranked = ordered_rank(df, keys, order)
-    joined = ranked.join(info, list(keys)) if keys else ranked.crossJoin(F.broadcast(info))
+    if keys:
+        joined = ranked.join(info, list(keys))
+    else:  # one row of paging facts
+        joined = ranked.withColumn("_one", F.lit(1)).join(F.broadcast(info.withColumn("_one", F.lit(1))), "_one").drop("_one")
     return joined.filter((F.col("rank") > F.col("start_index")) & (F.col("rank") <= F.col("end_index")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import COVERAGE_EXCLUDE, COVERAGE_INCLUDE, TEST_GLOBS, glob_filter, glob_regex
 from ..operators import coverage as cv, facts, ranking as rk
+from ..session import cut
 from ..sources import coverage_reports as reports
 from .corpus import code_files, corpus_ctes, quoted, table
 from .facts import FACTS_SQL
@@ -177,7 +178,7 @@ o AS (SELECT *, count(*) OVER (PARTITION BY project) AS n FROM gaps),
 r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY CASE priority WHEN 'critical' THEN 0 ELSE 1 END, complexity DESC, path) AS rank FROM o WHERE priority IN ('critical', 'high'))
 SELECT project, path, priority, CAST(complexity AS INT) AS complexity, CAST(rank AS INT) AS rank FROM r WHERE rank <= CASE WHEN n > 50 THEN 10 ELSE 20 END""")
 def critical_coverage_gaps(spark, sf):
-    return cv.critical_gaps(_gaps(spark, sf)).select("project", "path", "priority", "complexity", "rank")
+    return cv.critical_gaps(cut(_gaps(spark, sf))).select("project", "path", "priority", "complexity", "rank")
 
 
 @query("F4 W2 W7", lambda: f"""WITH {gap_ctes()},
@@ -189,6 +190,7 @@ def coverage_gap_pages(spark, sf):
     """First page of gaps of at least medium priority; its size follows the rows' size."""
     gaps = _gaps(spark, sf).filter(rk.at_least(F.col("priority"), "medium", rk.PRIORITY_ORDER))
     gaps = gaps.withColumn("p", rk.rank_of(F.col("priority"), rk.PRIORITY_ORDER)).withColumn("c", -F.col("complexity"))
+    gaps = cut(gaps)
     page = rk.token_sized_pages(gaps.withColumn("tokens", F.length("path") * 20), ["project"], ["p", "c", "path"], "tokens")
     return page.select("project", "path", "priority", "rank", "total_items", "page_size")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import patterns as pt, ranking as rk
 from ..rules import PATTERNS
+from ..session import cut
 from .corpus import code_files, corpus_ctes, quoted
 from .registry import query
 from .rule_sql import rule_select, rules_values
@@ -111,7 +112,7 @@ def pattern_best_practices(spark, sf):
 SELECT project, path, line, type, name, CAST(r AS INT) AS rank FROM c WHERE r <= CASE WHEN t > 40 THEN greatest(5, floor(40 * (g / CAST(t AS DOUBLE)))) ELSE g END""")
 def capped_patterns(spark, sf):
     """About forty rows per project, shared among the types by size, five at least."""
-    found = pt.occurrences(code_files(spark, sf))
+    found = cut(pt.occurrences(code_files(spark, sf)))
     return rk.proportional_cap(found, "type", ["path", "line", "name", "rule_id"], limit=40).select("project", "path", "line", "type", "name", "rank")
 
 
@@ -121,5 +122,5 @@ k AS (SELECT o.*, n, row_number() OVER (PARTITION BY o.project ORDER BY path, li
 SELECT project, type, path, line, name, CAST(r AS INT) AS rank FROM k WHERE r > (least(2, ceil(n / 10.0)) - 1) * 10 AND r <= least(2, ceil(n / 10.0)) * 10""")
 def largest_pattern_page(spark, sf):
     """Second page of ten of each project's most common type."""
-    found = pt.occurrences(code_files(spark, sf))
+    found = cut(pt.occurrences(code_files(spark, sf)))
     return rk.largest_group_page(found, "type", ["path", "line", "name", "rule_id"], 2, 10).select("project", "type", "path", "line", "name", "rank")

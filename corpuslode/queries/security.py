@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import findings as fd, ranking as rk
 from ..operators.scan import findings, scan
 from ..rules import FAMILIES, FAMILY_ORDER, PRACTICES, security_rules
+from ..session import cut
 from .corpus import code_files, corpus_ctes, quoted, table, text_table
 from .registry import REGISTRY, Query, query
 from .rule_sql import rules_values, scan_sql
@@ -23,6 +24,11 @@ def _unique(spark, sf):
     return fd.dedupe_findings(_all_findings(spark, sf))
 
 
+def _stored(spark, sf):
+    """Findings that are read more than once are written once; the corpus is scanned once."""
+    return cut(_unique(spark, sf))
+
+
 def _practices(spark, sf):
     return fd.dedupe_practices(findings(code_files(spark, sf), PRACTICES))
 
@@ -165,7 +171,7 @@ SELECT project, path, CAST(line AS INT) AS line, title, severity, CAST(rank AS I
 FROM k WHERE rank > 20 AND rank <= 40""")
 def security_page(spark, sf):
     """Second page of 20 after severity and category filters, in severity order."""
-    kept = fd.keep_listed(_unique(spark, sf), "severity", ["critical", "high", "medium"])
+    kept = fd.keep_listed(_stored(spark, sf), "severity", ["critical", "high", "medium"])
     kept = fd.keep_listed(kept, "category", ["injection", "crypto", "access_control", "misconfiguration"])
     kept = kept.withColumn("severity_rank", rk.rank_of(F.col("severity"), rk.SEVERITY_ORDER))
     page = rk.paged(kept, ["project"], ["severity_rank", "path", "line", "title"], page=2, size=20, clamp=False)
@@ -210,7 +216,7 @@ p(recommendation, priority, effort, impact, least) AS (VALUES {', '.join(str(r)
 SELECT project, recommendation, priority, effort, impact, findings, affected_files, first_titles
 FROM g JOIN t USING (project, recommendation) JOIN p USING (recommendation) WHERE findings >= least""")
 def security_recommendations(spark, sf):
-    return fd.recommendations(_unique(spark, sf))
+    return fd.recommendations(_stored(spark, sf))
 
 
 @query("J13", lambda: f"""WITH {unique_ctes()},
@@ -223,7 +229,7 @@ SELECT project, path, CAST(line AS INT) AS line, title, sa AS severity_before, s
 FROM a FULL JOIN b USING (project, path, line, title)""")
 def finding_snapshot_diff(spark, sf):
     """Two runs over corpora that differ by labelled documents: new, fixed, persisting."""
-    found = _unique(spark, sf)
+    found = _stored(spark, sf)
     docs = code_files(spark, sf).select("project", "path", "doc_id")
     labels = table(spark, sf, "labels")
     before = docs.join(labels.filter("toxic = 1"), "doc_id", "left_anti")

@@ -41,7 +41,7 @@ def read_corpus(spark: SparkSession, root: str, include: Iterable[str] = (), exc
         "path", F.array_join(F.slice(parts, F.lit(project_depth + 1), F.size(parts)), "/")
     )
     named = glob_filter(named, include, exclude)
-    return named.select("project", "path", F.decode("content", F.lit("UTF-8")).alias("content"))
+    return named.select("project", "path", F.decode("content", "UTF-8").alias("content"))
 
 
 def write_corpus(files: DataFrame, path: str) -> None:

@@ -17,7 +17,7 @@ CASES = [
     ("Hardcoded API Key", "node", "a.ts", 'apiKey: "k1234567890123456"', 'apiKey: "your-api-key-1234567"'),
     ("Hardcoded Password", "node", "a.ts", "password = 'hunter2!'", "password = '${process.env.P}'"),
     ("Weak Cryptographic Algorithm: MD5", "node", "a.ts", "import c from 'crypto';\nc.createHash('md5')", "c.createHash('md5')"),
-    ("Insecure Random Number Generation", "node", "a.ts", "const token = 1;\nMath.random()", "const w = 1;\n\n\n\nMath.random()"),
+    ("Insecure Random Number Generation", "node", "a.ts", "const token = 1;\nMath.random()", "const token = crypto.randomBytes(8)"),
     ("Insecure HTTP URL", "node", "a.ts", "u = 'http://corp.org/x'", "u = 'http://localhost:3000/x'"),
     ("JWT with 'none' Algorithm", "node", "a.ts", "import j from 'jsonwebtoken';\nj.verify(t, k, { algorithm: 'none' })", "j.verify(t, k, { algorithm: 'none' })"),
     ("CORS with Credentials and Wildcard Origin", "node", "a.ts", "credentials: true, origin: '*'", "credentials: true, origin: 'x'"),
