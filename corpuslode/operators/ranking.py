@@ -21,6 +21,9 @@ PAGE_SIZE, MAX_PAGE_SIZE, MIN_PAGE_SIZE, AUTO_THRESHOLD = 50, 200, 5, 100
 # Ranks up to this depth come from a top-k; deeper ones from a full numbering.
 TOP_K_DEPTH = 20_000
 
+# Largest bound that Spark applies before the shuffle, and parts of a key beyond it.
+MAP_SIDE_LIMIT, SALTS = 1_000, 64
+
 
 def rank_of(column: Column, order: Sequence[str]) -> Column:
     """Position of a value in an ordered vocabulary; unknown values come last."""
@@ -36,9 +39,15 @@ def at_least(column: Column, minimum: str, order: Sequence[str]) -> Column:
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows per key with their rank.
 
-    The constant bound lets Spark limit every map partition to ``k`` rows per key
-    before the shuffle, so a hot key sends ``k`` rows per task and no more.
+    A small constant bound lets Spark limit every map partition to ``k`` rows per
+    key before the shuffle.  Beyond that size Spark does not, so the rows of a key
+    are first limited in salted parts; a hot key never meets one task whole.
     """
+    if k > MAP_SIDE_LIMIT:
+        hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = salted.withColumn("_place", F.row_number().over(part)).filter(F.col("_place") <= k).drop("_place", "_salt")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
 

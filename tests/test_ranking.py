@@ -70,3 +70,11 @@ def test_proportional_cap(spark):
 def test_ranks_of_vocabulary(spark):
     got = [r.r for r in spark.createDataFrame([(s,) for s in ("critical", "info", "odd")], "s string").select(rk.rank_of(F.col("s"), rk.SEVERITY_ORDER).alias("r")).collect()]
     assert got == [0, 4, 5]
+
+
+def test_salted_top_k_equals_plain(spark, monkeypatch):
+    _, df = _rows(spark, 200)
+    take = lambda: {(r.k, r.id, r["rank"]) for r in rk.top_k(df, ["k"], [F.desc("v"), F.col("id")], 9).collect()}
+    plain = take()
+    monkeypatch.setattr(rk, "MAP_SIDE_LIMIT", 1)
+    assert take() == plain
