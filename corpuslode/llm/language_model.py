@@ -75,10 +75,7 @@ class Vocabulary:
     distinct: int
     other_tokens: np.ndarray
     other_distinct: np.ndarray
-
-    @property
-    def frequent(self) -> int:
-        return min(FREQUENT, len(self.words))
+    frequent: int
 
     @property
     def shape(self) -> Shape:
@@ -112,7 +109,7 @@ def read_vocabulary(counts: DataFrame) -> Vocabulary:
     for word, count in zip(words[:FREQUENT], n):
         tokens[other_class(word)] -= count
         distinct[other_class(word)] -= 1
-    return Vocabulary(words, n, total, types, tokens, distinct)
+    return Vocabulary(words, n, total, types, tokens, distinct, min(FREQUENT, len(words)))
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray, text: str = "text") -> np.ndarray:

@@ -126,22 +126,22 @@ def solve_patterns(histogram: Mapping[int, int], size: int, gap: float = 0.002,
         return []
     demand = np.array([counts[int(length)] for length in lengths], float)
     basis, amount = first_basis(lengths, demand, size)
-    inverse = np.linalg.inv(basis)
+    inverse = _inverse(basis)
     centre = lengths / size  # feasible duals: no pattern is worth more than 1
-    bound = float(centre @ demand)
+    bound = float((centre * demand).sum())
     for _ in range(pivots):
         if amount.sum() <= bound * (1 + gap):
             break
         duals = inverse.sum(axis=0)
         for drawn in (0.7 * centre + 0.3 * duals, duals):
             price, column = best_pattern(lengths, drawn, size)
-            if drawn @ demand / price > bound:
-                bound, centre = float(drawn @ demand / price), drawn / price
-            if duals @ column > 1 + 1e-9:
+            if (drawn * demand).sum() / price > bound:
+                bound, centre = float((drawn * demand).sum() / price), drawn / price
+            if (duals * column).sum() > 1 + 1e-9:
                 break
         else:
             break
-        direction = inverse @ column
+        direction = (inverse * column).sum(axis=1)
         ratio = np.where(direction > 1e-9, amount / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
@@ -154,7 +154,7 @@ def solve_patterns(histogram: Mapping[int, int], size: int, gap: float = 0.002,
     times = np.floor(amount + 1e-6).astype(np.int64)
     times = _within(basis, times, demand)
     patterns = [(int(t), basis[:, i]) for i, t in enumerate(times) if t]
-    left = (demand - basis @ times).round().astype(np.int64)
+    left = (demand - (basis * times).sum(axis=1)).round().astype(np.int64)
     while left.any():
         column = fill(lengths, left, size)
         used = column > 0
@@ -163,9 +163,28 @@ def solve_patterns(histogram: Mapping[int, int], size: int, gap: float = 0.002,
     return [(t, tuple((int(lengths[i]), int(c[i])) for i in range(len(lengths) - 1, -1, -1) if c[i])) for t, c in patterns]
 
 
+def _inverse(basis: np.ndarray) -> np.ndarray:
+    """Inverse of the greedy basis by substitution.
+
+    Sorted by where they are exhausted, its rows form a triangle.  Plain array
+    arithmetic, since threaded linear algebra may stall beside a busy JVM.
+    """
+    m = len(basis)
+    last = np.array([np.flatnonzero(row)[-1] for row in basis])  # the pattern that exhausts a length is its last
+    rows = np.empty(m, np.int64)
+    rows[last] = np.arange(m)
+    inverse = np.zeros((m, m))
+    for k in range(m):
+        known = (basis[rows[k], :k, None] * inverse[:k]).sum(axis=0) if k else np.zeros(m)
+        inverse[k] = -known
+        inverse[k, rows[k]] += 1
+        inverse[k] /= basis[rows[k], k]
+    return inverse
+
+
 def _within(basis: np.ndarray, times: np.ndarray, demand: np.ndarray) -> np.ndarray:
     """Take back uses that rounding errors put above the demand."""
-    while ((over := basis @ times - demand) > 0.5).any():
+    while ((over := (basis * times).sum(axis=1) - demand) > 0.5).any():
         length = int(over.argmax())
         times[int(np.where(basis[length] > 0, times, -1).argmax())] -= 1
     return times

@@ -104,12 +104,13 @@ def _shares(counts: Column) -> Column:
 
 
 def jensen_shannon(left: Column, right: Column) -> Column:
-    """Jensen-Shannon distance of two histograms with sum 1: 0 if equal, 1 without a common bin."""
+    """Jensen-Shannon distance of two histograms with sum 1: 0 if equal, 1 without a common bin, null if one is null."""
     def part(x: Column, y: Column) -> Column:
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
 
     terms = F.zip_with(left, right, lambda x, y: part(x, y) + part(y, x))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, t: a + t) / 2))
+    divergence = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t) / 2
+    return F.when(left.isNotNull() & right.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), divergence)))
 
 
 def _histograms(facts: Column, limits: QualityLimits) -> list[Column]:

@@ -24,10 +24,10 @@ from .common import cut, extended
 
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")  # on lower-case bytes: letters, digits and all that is not ASCII
 START = b"<"  # no token
-# Documents that hold a word, or a bigram, for classes to differ in it, and the test value: one in a thousand by chance.
+# Documents that hold a word, or a bigram, for classes to differ in it, and the test value: one in ten thousand by chance.
 MIN_WORD = 4
 MIN_BIGRAM = 16
-CRITICAL = 10.83
+CRITICAL = 15.14
 DISCOUNT = 0.75
 WINDOW = 32
 
@@ -38,11 +38,10 @@ def _tokens(text: bytes | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Log ratios toxic to ordinary: of words, of the backoff weight after a word, of bigrams (sorted keys); logistic curve."""
+    """Log ratios toxic to ordinary, of words and of bigrams (sorted keys), and the logistic curve."""
 
     words: dict[bytes, int]
     word_ratio: np.ndarray
-    context_ratio: np.ndarray
     bigram_keys: np.ndarray
     bigram_ratio: np.ndarray
     intercept: float
@@ -56,7 +55,6 @@ class ToxicityModel:
         ids = np.fromiter((self.words.get(w, -1) for w in found), np.int64, len(found))
         ratio = np.where(ids >= 0, self.word_ratio[ids], 0.0)
         before = ids[:-1]
-        ratio[1:] += np.where((before >= 0) & (ids[1:] >= 0), self.context_ratio[before], 0.0)
         if len(self.bigram_keys) and len(ids) > 1:
             keys = np.where((before >= 0) & (ids[1:] >= 0), before * len(self.words) + ids[1:], -1)
             at = np.minimum(np.searchsorted(self.bigram_keys, keys), len(self.bigram_keys) - 1)
@@ -123,7 +121,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, most: int
     documents of both classes every text scores 0.
     """
     rows = training_rows(docs, labels, allowed, most, text, doc_id)
-    neutral = ToxicityModel({}, np.zeros(1), np.zeros(1), np.zeros(0, np.int64), np.zeros(0), -30.0, 0.0)
+    neutral = ToxicityModel({}, np.zeros(1), np.zeros(0, np.int64), np.zeros(0), -30.0, 0.0)
     table = cut(bigram_table(rows))
     total = table.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count("*").alias("pairs")).first()
     if not total["toxic"] or not total["ordinary"]:
@@ -139,35 +137,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, most: int
     if not len(words):
         return neutral
     shared = words["contexts"].to_numpy() / all_contexts
-    unigram = {}
-    for kind in ("toxic", "ordinary"):
-        kept = np.maximum(words[kind].to_numpy(float) - DISCOUNT, 0) / total[kind]
-        # The mass of all other words and the freed mass; both classes deal it out by the shared counts.
-        unigram[kind] = kept + (1 - kept.sum()) * shared
+    unigram = {kind: _discounted(words[kind].to_numpy(float), total[kind], shared) for kind in ("toxic", "ordinary")}
     index = {w: i for i, w in enumerate(words["second"])}
-    context = np.zeros(len(index))
     keys, ratios = [], []
     for first, group in pairs.groupby("first", sort=False):
-        if first not in index:
-            continue
-        at = [i for i, w in enumerate(group["second"]) if w in index]
-        second = np.array([index[group["second"].iloc[i]] for i in at], np.int64)
-        log = {}
-        for kind in ("toxic", "ordinary"):
-            whole = max(float(firsts.at[first, kind]), 1.0)
-            kept = np.maximum(group[kind].to_numpy(float)[at] - DISCOUNT, 0) / whole
-            freed = max(1 - kept.sum(), 1e-6)
-            log[kind] = (np.log(kept + freed * unigram[kind][second]), np.log(freed))
-        context[index[first]] = log["toxic"][1] - log["ordinary"][1]
-        keys.append(index[first] * len(index) + second)
-        ratios.append(log["toxic"][0] - log["ordinary"][0])
+        at = [i for i, w in enumerate(group["second"]) if w in index] if first in index else []
+        if at:
+            second = np.array([index[group["second"].iloc[i]] for i in at], np.int64)
+            given = {kind: _discounted(group[kind].to_numpy(float)[at], max(float(firsts.at[first, kind]), 1.0), unigram[kind][second]) for kind in unigram}
+            keys.append(index[first] * len(index) + second)
+            ratios.append(np.log(given["toxic"] / given["ordinary"]))
     keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
     ratios = np.concatenate(ratios) if ratios else np.zeros(0)
     order = np.argsort(keys)
-    model = ToxicityModel(index, np.log(unigram["toxic"] / unigram["ordinary"]), context, keys[order], ratios[order], 0.0, 1.0)
+    model = ToxicityModel(index, np.log(unigram["toxic"] / unigram["ordinary"]), keys[order], ratios[order], 0.0, 1.0)
     seen = rows.select(F.col("text").cast("binary").alias("text"), "toxic").mapInArrow(_evidence(model), "evidence double, toxic int").toPandas()
     intercept, slope = _logistic(seen["evidence"].to_numpy(), seen["toxic"].to_numpy(float))
-    return ToxicityModel(model.words, model.word_ratio, model.context_ratio, model.bigram_keys, model.bigram_ratio, intercept, slope)
+    return ToxicityModel(model.words, model.word_ratio, model.bigram_keys, model.bigram_ratio, intercept, slope)
+
+
+def _discounted(counts: np.ndarray, whole: float, backoff: np.ndarray) -> np.ndarray:
+    """Kneser-Ney estimate: counts less the discount, and the freed mass dealt out by ``backoff``."""
+    freed = (np.minimum(counts, DISCOUNT).sum() + DISCOUNT) / whole
+    return np.maximum(counts - DISCOUNT, 0) / whole + freed * backoff
 
 
 def _evidence(model: ToxicityModel):
@@ -180,24 +172,26 @@ def _evidence(model: ToxicityModel):
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
     """Intercept and slope by Newton's method with damped steps; the ridge keeps separable classes finite."""
-    design, weights = np.stack([np.ones_like(x), x], axis=1), np.zeros(2)
-    penalty = np.diag([0.0, ridge])
+    a = b = 0.0
 
-    def loss(w: np.ndarray) -> float:
-        z = design @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + w @ penalty @ w / 2)
+    def loss(a: float, b: float) -> float:
+        z = a + b * x
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge * b * b / 2)
 
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
-        gradient = design.T @ (p - y) + penalty @ weights
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + penalty + 1e-9 * np.eye(2), gradient)
+        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
+        w = p * (1 - p)
+        slope_a, slope_b = (p - y).sum(), ((p - y) * x).sum() + ridge * b
+        aa, ab, bb = w.sum() + 1e-9, (w * x).sum(), (w * x * x).sum() + ridge
+        det = aa * bb - ab * ab
+        step_a, step_b = (bb * slope_a - ab * slope_b) / det, (aa * slope_b - ab * slope_a) / det
         size = 1.0
-        while size > 1e-4 and loss(weights - size * step) > loss(weights):
+        while size > 1e-4 and loss(a - size * step_a, b - size * step_b) > loss(a, b):
             size /= 2
-        weights = weights - size * step
-        if abs(step).max() * size < 1e-8:
+        a, b = a - size * step_a, b - size * step_b
+        if size * max(abs(step_a), abs(step_b)) < 1e-8:
             break
-    return float(weights[0]), float(weights[1])
+    return float(a), float(b)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpuslode.llm import licenses, quality, sharding, url_rules
 from corpuslode.llm.queries import op1_sharding, op6_licenses, op7_sql
@@ -74,14 +75,13 @@ def test_divergence_rejects_the_odd_one_out(documents):
     prose = [f"the cat of number {i} and the dog were in a house that is on the hill for a while and it was {i} as with all " * 6 for i in range(40)]
     junk = "| ### %%% $$$ &&& ||| *** <<< >>> " * 20
     junk = " ".join(f"{w}{i}" for i, w in enumerate(junk.split()))
-    got = {r["doc_id"]: r["quality"] for r in quality.quality_rules(documents(prose + [junk, "| # % " * 8])).collect()}
+    got = {r["doc_id"]: r["quality"] for r in quality.quality_rules(documents(prose + [junk, "| # % " * 8]).withColumn("lang", F.lit("en"))).collect()}
     limit = quality.QualityLimits()
     assert got[40]["class_distance"] > limit.class_distance and not got[40]["kept"]
     assert got[41]["class_distance"] is None  # below the guard
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     m = [(a + b) / 2 for a, b in zip(p, q)]
     want = math.sqrt(sum(x * math.log2(x / y) for d in (p, q) for x, y in zip(d, m) if x) / 2)
-    from pyspark.sql import functions as F
     df = documents(["x"]).select(quality.jensen_shannon(F.array(*map(F.lit, p)), F.array(*map(F.lit, q))).alias("d"))
     assert abs(df.first()["d"] - want) < 1e-12
 
