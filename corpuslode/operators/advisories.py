@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import versions as vs
 from ..functions.paths import any_contains
@@ -17,8 +17,13 @@ def with_locked_versions(dependencies: DataFrame, locked: DataFrame) -> DataFram
     return dependencies.join(locked, ["project", "name"], "left").withColumn("version", F.coalesce("locked", "version")).drop("locked")
 
 
-def advisory_ranges(advisories: DataFrame, compat: bool = False) -> DataFrame:
-    """One row per advisory, package and affected range, with the advisory's facts."""
+def advisory_ranges(advisories: DataFrame, compat: bool = False, ecosystem: str = "npm") -> DataFrame:
+    """One row per advisory, package and affected range or listed version, with the advisory's facts.
+
+    Packages of other ecosystems and ranges of other kinds (hashes of a
+    repository) are left out.  Each introduction ends at the next fix after it, in
+    the order of versions; an introduction without one stays open.
+    """
     severities = F.coalesce("severity", F.try_element_at("affected", F.lit(1))["severity"])
     facts = advisories.select(
         "id", "summary",
@@ -27,18 +32,27 @@ def advisory_ranges(advisories: DataFrame, compat: bool = False) -> DataFrame:
         vs.advisory_fixed(F.col("affected")).alias("fixed_in"),
         vs.advisory_url(F.col("references")).alias("url"),
         F.explode("affected").alias("a"),
-    )
-    ranged = facts.select("id", "summary", "severity", "cves", "fixed_in", "url", F.col("a.package.name").alias("name"), F.explode("a.ranges").alias("r"))
+    ).filter(F.col("a.package.ecosystem") == ecosystem)
+    kept = ["id", "summary", "severity", "cves", "fixed_in", "url"]
+    named = facts.select(*kept, F.col("a.package.name").alias("name"), "a.ranges", "a.versions")
+    ranged = named.select(*kept, "name", F.explode("ranges").alias("r")).filter(F.col("r.type").isin("SEMVER", "ECOSYSTEM"))
     opened = F.filter("r.events", lambda e: e["introduced"].isNotNull())
     closed = F.filter("r.events", lambda e: e["fixed"].isNotNull())
-    pairs = F.arrays_zip(opened.alias("o"), closed.alias("c"))
-    return ranged.select("id", "summary", "severity", "cves", "fixed_in", "url", "name", F.explode(pairs).alias("p")).select(
-        "id", "summary", "severity", "cves", "fixed_in", "url", "name",
-        F.col("p.o.introduced").alias("introduced"), F.col("p.c.fixed").alias("fixed"))
+
+    def after(start: Column) -> Column:
+        fixes = F.transform(closed, lambda e: F.struct(vs.version_key(e["fixed"]).alias("key"), e["fixed"].alias("fixed")))
+        return F.array_min(F.filter(fixes, lambda x: x["key"] > vs.version_key(start)))["fixed"]
+
+    spans = F.transform(opened, lambda e: F.struct(e["introduced"].alias("introduced"), after(e["introduced"]).alias("fixed")))
+    ranges = ranged.select(*kept, "name", F.explode(spans).alias("p")).select(
+        *kept, "name", F.col("p.introduced").alias("introduced"), F.col("p.fixed").alias("fixed"), F.lit(None).cast("string").alias("listed"))
+    none = F.lit(None).cast("string")
+    listed = named.select(*kept, "name", none.alias("introduced"), none.alias("fixed"), F.explode("versions").alias("listed"))
+    return ranges.unionByName(listed)
 
 
 def vulnerable_dependencies(dependencies: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Dependencies whose version lies in an affected range: introduced <= version < fixed.
+    """Dependencies whose version is listed or lies in an affected range: introduced <= version < fixed.
 
     Versions are matched once per distinct (package, version), so a package that a
     third of all projects use is one row here; the hits then join back by key.
@@ -46,7 +60,8 @@ def vulnerable_dependencies(dependencies: DataFrame, ranges: DataFrame) -> DataF
     valid = dependencies.filter(vs.is_valid_version(F.col("version")))
     asked = valid.select("name", "version").distinct().withColumn("key", vs.version_key(F.col("version")))
     bounds = ranges.withColumn("low", vs.version_key(F.coalesce("introduced", F.lit("0")))).withColumn("high", vs.version_key(F.col("fixed")))
-    hit = (F.col("key") >= F.col("low")) & (F.col("fixed").isNull() | (F.col("key") < F.col("high")))
+    inside = (F.col("key") >= F.col("low")) & (F.col("fixed").isNull() | (F.col("key") < F.col("high")))
+    hit = F.when(F.col("listed").isNotNull(), F.col("listed") == F.col("version")).otherwise(inside)
     hits = asked.join(bounds, "name").filter(hit).groupBy("name", "version", "id").agg(
         *[F.first(c).alias(c) for c in ("summary", "severity", "cves", "fixed_in", "url")])
     return valid.join(hits, ["name", "version"])

@@ -346,10 +346,13 @@ def witness_cycles(links: DataFrame) -> DataFrame:
     return _merge(closed) if closed else links.select("project", F.array("src").alias("cycle")).filter(F.lit(False))
 
 
-def circular_edges(edges: DataFrame, found: DataFrame) -> DataFrame:
-    """Edges with a flag for those that are a step of a reported cycle."""
-    steps = found.select("project", F.explode(F.transform(
-        F.slice("cycle", 1, F.size("cycle") - 1),
-        lambda node, i: F.struct(node.alias("src"), F.element_at("cycle", (i + 2).cast("int")).alias("dst")),
-    )).alias("s")).select("project", "s.src", "s.dst").distinct().withColumn("circular", F.lit(True))
-    return edges.join(steps, ["project", "src", "dst"], "left").na.fill(False, ["circular"])
+def circular_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """Edges with a flag for those that lie on some cycle.
+
+    That is so exactly for loops and for edges within one of the strong
+    ``components (project, id, component)``; no cycle is listed for it.
+    """
+    ends = [components.select("project", F.col("id").alias(end), F.col("component").alias(f"_{end}")) for end in ("src", "dst")]
+    joined = edges.join(ends[0], ["project", "src"], "left").join(ends[1], ["project", "dst"], "left")
+    flag = (F.col("src") == F.col("dst")) | F.coalesce(F.col("_src") == F.col("_dst"), F.lit(False))
+    return joined.select(*edges.columns, flag.alias("circular"))

@@ -84,7 +84,7 @@ def stream_tasks(found: DataFrame) -> DataFrame:
 def stores(found: DataFrame) -> DataFrame:
     """State, getter and action names of stores."""
     def section(start):
-        body = F.regexp_extract(F.col("matched"), start + r"\{([^{}]*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}]*)*)\}", 1)
+        body = F.regexp_extract(F.col("matched"), start + r"\{([^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+)\}", 1)
         flat = F.regexp_replace(F.regexp_replace(body, r"\{[^{}]*\}|\[[^\[\]]*\]", " "), r"\{[^{}]*\}|\([^()]*\)", " ")
         return _names(flat, r"(?:^|,)\s*(?:async\s+)?([A-Za-z_$][\w$]*)")
     return found.filter(F.col("type") == "pinia-stores").select(

@@ -36,7 +36,7 @@ def dependency_graph_job(files: DataFrame) -> dict[str, DataFrame]:
     measured = cut(gr.degrees(nodes, edges))
     circular = cut(gr.cycles(edges))
     return {
-        "nodes": measured, "edges": gr.circular_edges(edges, circular), "cycles": circular, "metrics": gr.coupling_metrics(measured),
+        "nodes": measured, "edges": gr.circular_edges(edges, cut(gr.strong_components(edges))), "cycles": circular, "metrics": gr.coupling_metrics(measured),
         "hotspots": gr.hotspots(measured), "depth": gr.average_depth(nodes, edges),
     }
 

@@ -188,18 +188,13 @@ def graph_average_depth(spark, sf):
     return gr.average_depth(*part_graph(spark, sf))
 
 
-@query("G12 J11", f"""WITH {EDGE_SQL},
-links AS (SELECT DISTINCT project, src, dst FROM edges)
-SELECT e.project, e.src, e.dst, e.type, e.src = e.dst OR l.src IS NOT NULL AS circular
-FROM edges e LEFT JOIN links l ON l.project = e.project AND l.src = e.dst AND l.dst = e.src AND e.src <> e.dst""")
+@query("G12 J11", f"""WITH RECURSIVE {EDGE_SQL}, {REACH_SQL}
+SELECT e.project, e.src, e.dst, e.type, e.src = e.dst OR coalesce(s.component = t.component, false) AS circular
+FROM edges e LEFT JOIN scc s ON s.project = e.project AND s.id = e.src LEFT JOIN scc t ON t.project = e.project AND t.id = e.dst""")
 def graph_critical_edges(spark, sf):
-    """Edges that are a step of a one- or two-file cycle."""
+    """Edges that lie on some cycle, of any length."""
     _, edges = part_graph(spark, sf)
-    links = edges.select("project", "src", "dst").distinct()
-    loops = links.filter("src = dst").select("project", F.array("src", "dst").alias("cycle"))
-    back = links.select("project", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    pairs = links.filter("src < dst").join(back, ["project", "src", "dst"], "left_semi").select("project", F.array("src", "dst", "src").alias("cycle"))
-    return gr.circular_edges(edges, loops.unionByName(pairs)).select("project", "src", "dst", "type", "circular")
+    return gr.circular_edges(edges, gr.strong_components(edges)).select("project", "src", "dst", "type", "circular")
 
 
 @query("W6 W7 W8", f"""WITH {EDGE_SQL}, {DEGREES_SQL},

@@ -5,7 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from ..rules import Clause, Rule
-from .corpus import quoted
+from . import corpus
+
+
+def quoted(value: str) -> str:
+    """A literal; possessive quantifiers, which that engine lacks and does not need, become plain ones."""
+    return corpus.quoted(value.replace("]*+", "]*").replace(")*+", ")*"))
 
 
 def _list(words: Sequence[str]) -> str:

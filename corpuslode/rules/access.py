@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .model import Rule, has, lacks, numbered
 
-OPTIONS_OBJECT = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+# Possessive, so that the JVM matches an object of any size without recursion.
+OPTIONS_OBJECT = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
 
 
 def route_call(methods: list[str]) -> str:

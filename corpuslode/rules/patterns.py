@@ -77,8 +77,9 @@ def _p(kind, confidence, pattern, frameworks=(), gate=(), group=1, **extra) -> R
     )
 
 
-OBJECT = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
-STORE_OBJECT = r"\{[^{}]*(?:\{[^{}]*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}]*)*\}[^{}]*)*\}"
+# Possessive, so that the JVM matches an object of any size without recursion.
+OBJECT = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
+STORE_OBJECT = r"\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}[^{}]*+)*+\}"
 
 RULES = numbered("PAT", [
     # react, react native, expo

@@ -24,7 +24,7 @@ def read_corpus(spark: SparkSession, root: str, include: Iterable[str] = (), exc
     """Text files under ``root/<project>/...`` as ``(project, path, content)``.
 
     The globs run on the path column before any text is touched; unreadable
-    files are skipped.  For a large corpus convert once to parquet with
+    files and files that are not UTF-8 are skipped.  For a large corpus convert once to parquet with
     ``write_corpus`` and read that.
     """
     found = (
@@ -41,7 +41,7 @@ def read_corpus(spark: SparkSession, root: str, include: Iterable[str] = (), exc
         "path", F.array_join(F.slice(parts, F.lit(project_depth + 1), F.size(parts)), "/")
     )
     named = glob_filter(named, include, exclude)
-    return named.select("project", "path", F.decode("content", "UTF-8").alias("content"))
+    return named.select("project", "path", F.try_validate_utf8(F.col("content").cast("string")).alias("content")).where("content IS NOT NULL")
 
 
 def write_corpus(files: DataFrame, path: str) -> None:

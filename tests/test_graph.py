@@ -91,7 +91,9 @@ def test_important_subgraph_keeps_small_projects_whole(spark):
 
 
 def test_circular_edges(spark):
-    edges = spark.createDataFrame([("p", "a", "b", "t"), ("p", "b", "c", "t"), ("p", "c", "a", "t"), ("p", "c", "d", "t")], "project string, src string, dst string, type string")
-    flags = {(r.src, r.dst): r.circular for r in gr.circular_edges(edges, gr.cycles(edges)).collect()}
-    assert flags == {("a", "b"): True, ("b", "c"): True, ("c", "a"): True, ("c", "d"): False}
+    pairs = ["ab", "bc", "ca", "cd", "de", "ec", "db", "ef", "ff"]
+    edges = spark.createDataFrame([("p", *pair, "t") for pair in pairs], "project string, src string, dst string, type string")
+    flags = {r.src + r.dst: r.circular for r in gr.circular_edges(edges, gr.strong_components(edges)).collect()}
+    assert flags == {pair: pair != "ef" for pair in pairs}
+    edges = spark.createDataFrame([("p", *pair, "t") for pair in ["ab", "bc", "ca", "cd"]], "project string, src string, dst string, type string")
     assert gr.cycles(edges).select(F.col("cycle")).collect()[0].cycle == ["a", "b", "c", "a"]

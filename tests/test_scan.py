@@ -101,3 +101,14 @@ def test_snapshot_diff(spark):
     rows = lambda *xs: spark.createDataFrame([("p", x, 1, "t", "low") for x in xs], "project string, path string, line int, title string, severity string")
     got = {r.path: r.state for r in fd.snapshot_diff(rows("a", "b"), rows("b", "c")).collect()}
     assert got == {"a": "fixed", "b": "persisting", "c": "new"}
+
+
+def test_objects_of_any_size_do_not_end_the_jvm(spark):
+    big = "{" + "a: {b: 1},\n" * 100_000 + "}"
+    texts = [f"app.get('/api/user', {big})", f"fastify.route({big})", "export const useA = defineStore('a', {state: () => (" + big + ")})", f"producer.send({big})"]
+    rows = spark.createDataFrame([("p", f"src/{i}.ts", "import fastify from 'fastify'\n" + t, f) for i, t in enumerate(texts) for f in ("fastify", "vue3")],
+                                 "project string, path string, content string, framework string")
+    from corpuslode.rules import access, patterns as pattern_rules
+
+    for rule in (access.OPTIONS_OBJECT, pattern_rules.OBJECT, pattern_rules.STORE_OBJECT):
+        assert rows.where(rows.content.rlike(rule)).count() == rows.count()

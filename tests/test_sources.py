@@ -68,3 +68,31 @@ def test_advisory_fields(spark, tmp_path):
     deps = spark.createDataFrame([("p", "lodash", v, False) for v in ("4.17.19", "4.17.20", "4.17.20-rc1", "0.0.0")], "project string, name string, version string, is_dev boolean")
     hit = ad.vulnerable_dependencies(deps, ad.advisory_ranges(advisories))
     assert sorted(r.version for r in hit.collect()) == ["4.17.19", "4.17.20-rc1"]
+
+
+def test_files_that_are_not_utf8_are_skipped(spark, tmp_path):
+    folder = tmp_path / "in" / "p" / "src"
+    folder.mkdir(parents=True)
+    (folder / "good.ts").write_text("é")
+    (folder / "bad.ts").write_bytes(b"caf\xe9")
+    assert [r.path for r in corpus.read_corpus(spark, str(tmp_path / "in")).collect()] == ["src/good.ts"]
+
+
+def test_advisories_by_ecosystem_range_type_and_listed_version(spark, tmp_path):
+
+    def advisory(key, ecosystem, ranges, versions=None):
+        return {"id": key, "affected": [{"package": {"ecosystem": ecosystem, "name": "redis"}, "ranges": ranges, "versions": versions or []}]}
+
+    rows = [
+        advisory("OTHER", "PyPI", [{"type": "SEMVER", "events": [{"introduced": "0"}]}]),
+        advisory("LISTED", "npm", [], ["4.0.0"]),
+        advisory("GIT", "npm", [{"type": "GIT", "events": [{"introduced": "1234567"}]}]),
+        advisory("ORDER", "npm", [{"type": "SEMVER", "events": [{"introduced": "5.0.0"}, {"introduced": "1.0.0"}, {"fixed": "2.0.0"}]}]),
+    ]
+    (tmp_path / "dump.json").write_text("\n".join(map(json.dumps, rows)))
+    from corpuslode.operators import advisories as ad
+
+    ranges = ad.advisory_ranges(mf.read_advisories(spark, str(tmp_path / "dump.json")))
+    deps = spark.createDataFrame([("p", "redis", v) for v in ("1.5.0", "3.0.0", "4.0.0", "6.0.0")], "project string, name string, version string")
+    hits = {(r["version"], r["id"]) for r in ad.vulnerable_dependencies(deps, ranges).collect()}
+    assert hits == {("4.0.0", "LISTED"), ("1.5.0", "ORDER"), ("6.0.0", "ORDER")}
