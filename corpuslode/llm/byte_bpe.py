@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Memo, extended, units
 
 # Entries a Python worker keeps: text between spaces, matches of the pattern, and pairs of neighbours.
-UNITS = 300_000
-PIECES = 300_000
+UNITS = 700_000
+PIECES = 500_000
 PAIRS = 400_000
 _NEVER = 1 << 60
 
