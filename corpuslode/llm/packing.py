@@ -12,6 +12,7 @@ greedily, and the k-th piece of a length takes the k-th place of that length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
@@ -21,20 +22,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from .common import Memo, extended, numbered, placed, units
+from .common import extended, numbered, placed, units
 
 # Text units whose ids a Python worker keeps.
-UNITS = 400_000
+UNITS = 900_000
+# Documents whose unknown units are tokenized in one call.
+CHUNK = 400
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # times used, (length, pieces) from the longest
 
 
+class _UnitIds:
+    """Ids of text units as little-endian unsigned 32-bit bytes; strings of special tokens are ordinary text."""
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}
+
+    def of(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each text, given as its units; units not met before go to the tokenizer together."""
+        if len(self.known) >= UNITS:
+            self.known.clear()
+        new = list(set().union(*texts).difference(self.known))
+        for unit, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.known[unit] = np.array(coded.ids, "<u4").tobytes()
+        out = [b"".join(map(self.known.__getitem__, text)) for text in texts]
+        for unit in new:
+            if len(unit) > 64:
+                del self.known[unit]
+        return out
+
+
 @lru_cache(maxsize=4)
-def _unit_ids(path: str) -> Memo:
-    """Ids of a text unit as little-endian unsigned 32-bit bytes; strings of special tokens are ordinary text."""
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return Memo(lambda unit: np.array(tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes(), UNITS)
+def _unit_ids(path: str) -> _UnitIds:
+    """One per tokenizer file in each Python worker, which has one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return _UnitIds(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -49,12 +73,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, text:
         known = _unit_ids(tokenizer)
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memoryview(b"".join([*map(known.__getitem__, units(value)), end]) if value else end)
-                for start in range(0, len(ids), 4 * size):
-                    piece = ids[start:start + 4 * size]
-                    for column, item in zip(columns, (key, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)):
-                        column.append(item)
+            for first in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(first, CHUNK)
+                for key, body in zip(part.column(0).to_pylist(), known.of([units(value) if value else [] for value in part.column(1).to_pylist()])):
+                    ids = memoryview(body + end)
+                    for start in range(0, len(ids), 4 * size):
+                        piece = ids[start:start + 4 * size]
+                        for column, item in zip(columns, (key, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)):
+                            column.append(item)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
