@@ -3,7 +3,7 @@
 Word counts of all training documents are gathered by one aggregation.  The most
 frequent words are symbols of the recurrent model (``gru.py``); every other word
 belongs to a class by its last two bytes, the model gives the class and the counts
-give the word within it.  Every training document is learned from once: tasks
+give the word within it.  Every training document is run through once: tasks
 train copies of the model on their own documents, and parameters are averaged
 between rounds by symbol count.  Scoring needs a word's count: those of the
 ``KNOWN`` most frequent words travel with the model, the others meet the count
@@ -28,7 +28,7 @@ FREQUENT = 2000
 OTHERS = 24
 KNOWN = 100_000
 # Words whose codes, and distinct words whose counts, a Python worker keeps.
-CODES = 300_000
+CODES = 800_000
 COUNTED = 200_000
 # The first round trains on one in ``FIRST_PART`` documents, the second on the rest.
 FIRST_PART = 4
