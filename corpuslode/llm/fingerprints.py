@@ -117,24 +117,23 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     crosses the network once, the part it lends a second time.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
-    base = plain.where("doc_id is not null").withColumn("own", multiset_hash(F.col("text")))
+    base = plain.where("doc_id is not null").repartition("doc_id")  # dealt out once, read by both joins
     narrow = (plain.where("doc_id is not null").select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("h"))
               .groupBy("doc_id").agg(F.max("n").alias("n"), F.min("h").alias("h")))
     ranked = cut(ordered_numbers(narrow, "doc_id", "rank"))
     total = ranked.count()
     after = ranked.select(F.pmod(F.col("rank") - 1, F.lit(max(total, 1))).alias("rank"), F.col("doc_id").alias("next"), F.col("h").alias("next_hash"))
     lends = ranked.join(after, "rank").select(F.col("next").alias("doc_id"), F.col("next_hash").alias("h"), F.col("doc_id").alias("taker"), F.expr("n div 4").alias("most"))
-    lent = (base.join(lends, "doc_id").where(F.xxhash64("text") == F.col("h"))
-            .select(F.col("taker").alias("doc_id"), F.struct(F.substr(F.col("text"), F.lit(1), F.col("most").cast("int")).alias("start"), F.col("own").alias("next")).alias("lent"))
+    lent = (base.join(lends, "doc_id").where(F.xxhash64("text").bitwiseXOR(F.col("h")) == 0)  # no join key: both joins go by doc_id
+            .select(F.col("taker").alias("doc_id"), F.struct(F.substr(F.col("text"), F.lit(1), F.col("most").cast("int")).alias("start"), multiset_hash(F.col("text")).alias("next")).alias("lent"))
             .groupBy("doc_id").agg(F.first("lent").alias("lent")))
-    alone = plain.where("doc_id is null").select("doc_id", "text", multiset_hash(F.col("text")).alias("own"), F.lit("").alias("start"),
-                                                 multiset_hash(F.lit("")).alias("next"))
-    met = base.join(lent, "doc_id", "left").select("doc_id", "text", "own", F.coalesce("lent.start", F.lit("")).alias("start"), F.col("lent.next").alias("next")).unionByName(alone)
+    alone = plain.where("doc_id is null").select("doc_id", "text", F.lit("").alias("start"), multiset_hash(F.lit("")).alias("next"))
+    met = base.join(lent, "doc_id", "left").select("doc_id", "text", F.coalesce("lent.start", F.lit("")).alias("start"), F.col("lent.next").alias("next")).unionByName(alone)
     n = F.length("text")
     cut_at = (n - F.expr("length(text) div 4")).cast("int")
     quarter = F.expr("length(text) div 4").cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), cut_at), F.substr(F.col("start"), F.lit(1), quarter))
-    facts = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next")
+    facts = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), multiset_hash(F.col("text")).alias("own"), "next")
     hashed = facts.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "next", multiset_hash(F.col("edited")).alias("new"))
     return hashed.select("doc_id", "n_chars", "edited_sha256", fingerprint_text(F.col("own")).alias("fingerprint"), fingerprint_text(F.col("new")).alias("edited_fingerprint"),
                          likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
