@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from .common import bind, cut, ordered_numbers, whole
 
@@ -116,7 +117,10 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     Neighbours are found among narrow ``(doc_id, length)`` rows; each text then
     crosses the network once, the part it lends a second time.
     """
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
+    # A renamed key would make two plans of what both joins read, and the texts would be dealt out twice.
+    same = doc_id == "doc_id" and docs.schema[doc_id].dataType == LongType()
+    key = F.col(doc_id) if same else F.col(doc_id).cast("long").alias("doc_id")
+    plain = docs.select(key, whole(text).alias("text"))
     base = plain.where("doc_id is not null").repartition("doc_id")  # dealt out once, read by both joins
     narrow = (plain.where("doc_id is not null").select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("h"))
               .groupBy("doc_id").agg(F.max("n").alias("n"), F.min("h").alias("h")))
