@@ -35,8 +35,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
-def merged(piece: str, ranks: dict[str, int]) -> list[str]:
-    """The merges by definition: the pair of lowest rank first, the leftmost of equals."""
+def merged(piece: str, ranks: dict[str, int], stop: str = "") -> list[str]:
+    """The merges by definition: the pair of lowest rank first, the leftmost of equals; the one that makes ``stop`` is left undone."""
     parts = list(piece)
     while len(parts) > 1:
         offers = [ranks.get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
@@ -44,7 +44,10 @@ def merged(piece: str, ranks: dict[str, int]) -> list[str]:
         if best == _NEVER:
             break
         i = offers.index(best)
-        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        joined = parts[i] + parts[i + 1]
+        if joined == stop:
+            break
+        parts[i:i + 2] = [joined]
     return parts
 
 
@@ -63,33 +66,84 @@ class ByteBpe:
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
             self.automaton.add_word(token, rank)
-        self.pairs = Memo(lambda pair: merged(pair[0] + pair[1], self.ranks) == [x for x in pair if x], PAIRS)
+        # Facts of tokens, at most one entry each; the first also of starts of tokens.
+        self.shorter = Memo(self.longest_prefix, 4 * len(ranks), longest=_NEVER)
+        self.halves = Memo(self.last_merge, len(ranks), longest=_NEVER)
+        self.steady = Memo(self.is_steady, len(ranks), longest=_NEVER)
+        self.ends = Memo(lambda token: self.edge(token, 1), len(ranks), longest=_NEVER)
+        self.starts = Memo(lambda token: self.edge(token, 0), len(ranks), longest=_NEVER)
+        self.pairs = Memo(lambda pair: self.suits(*pair), PAIRS)
         self.piece_ids = Memo(self.encode_piece, PIECES)
         self.unit_ids = Memo(self.encode_unit, UNITS)
 
-    def longest(self, text: str, at: int) -> str | None:
-        """The longest token that ``text`` has at a place; the automaton says how far any token could reach."""
-        rest = text[at:at + self.widest]
-        return self.shorter(rest, self.automaton.longest_prefix(rest) + 1)
+    def longest_prefix(self, token: str) -> str:
+        """The longest token that a string starts with, itself apart; empty if there is none."""
+        return next((token[:n] for n in range(len(token) - 1, 0, -1) if token[:n] in self.ranks), "")
 
-    def shorter(self, token: str, size: int) -> str | None:
-        """The longest token that is a prefix with fewer than ``size`` characters."""
-        for n in range(size - 1, 0, -1):
-            if token[:n] in self.ranks:
-                return token[:n]
-        return None
+    def longest(self, text: str, at: int) -> str:
+        """The longest token that ``text`` has at a place, empty if there is none; the automaton says how far any token could reach."""
+        rest = text[at:at + self.widest]
+        rest = rest[:self.automaton.longest_prefix(rest)]
+        return rest if rest in self.ranks else self.shorter[rest]
+
+    def last_merge(self, token: str) -> tuple[str, str] | None:
+        """The two parts that the merges join last to get a token; None for a single byte, or if they do not get there."""
+        parts = merged(token, self.ranks, token)
+        return (parts[0], parts[1]) if len(parts) == 2 else None
+
+    def is_steady(self, token: str) -> bool:
+        """Whether the token's merges come in the order of their ranks, those of its parts before its own."""
+        if len(token) == 1:
+            return True
+        parts = self.halves[token]
+        return parts is not None and all(len(p) == 1 or (self.ranks[p] < self.ranks[token] and self.steady[p]) for p in parts)
+
+    def edge(self, token: str, side: int) -> list[tuple[str, int]]:
+        """What stands at one end of a token while it is merged, from its byte on, each with the rank of the merge that takes it."""
+        out, until = [(token, _NEVER)], _NEVER
+        while len(token) > 1:
+            until, token = self.ranks[token], self.halves[token][side]
+            out.append((token, until))
+        return out[::-1]
+
+    def suits(self, left: str, right: str) -> bool:
+        """Whether the merges of two tokens' joined bytes give these two again.
+
+        They do unless something at the end of the left one merges with something
+        at the start of the right one while both stand there.  Of equal ranks the
+        left merge comes first.
+        """
+        ranks = self.ranks
+        if not left:
+            return self.steady[right] or merged(right, ranks) == [right]
+        if not (self.steady[left] and self.steady[right]):
+            return merged(left + right, ranks) == [left, right]
+        ends, starts = self.ends[left], self.starts[right]
+        i = j = 0
+        while True:
+            (a, a_until), (b, b_until) = ends[i], starts[j]
+            rank = ranks.get(a + b)
+            if rank is not None and rank < a_until and rank <= b_until:
+                return False
+            if a_until <= b_until:
+                if a_until == _NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one piece: the piece itself if it is a token, else what the merges give."""
-        text = piece.encode().decode("latin-1")
-        if text in self.ranks:
-            return [self.ranks[text]]
-        pairs, found, closed = self.pairs, [""], set()  # nothing stands before the first token
-        at, token = 0, self.longest(text, 0)
-        while at < len(text):
-            while token is not None and (at + len(token) in closed or not pairs[found[-1], token]):
-                token = self.shorter(token, len(token))
-            if token is not None:
+        text, ranks = piece.encode().decode("latin-1"), self.ranks
+        if text in ranks:
+            return [ranks[text]]
+        pairs, shorter, found, closed = self.pairs, self.shorter, [""], set()  # nothing stands before the first token
+        at, token, size = 0, self.longest(text, 0), len(text)
+        while at < size:
+            before = found[-1]
+            while token and (closed and at + len(token) in closed or not pairs[before, token]):
+                token = shorter[token]
+            if token:
                 found.append(token)
                 at += len(token)
                 token = self.longest(text, at)
@@ -97,13 +151,16 @@ class ByteBpe:
                 closed.add(at)
                 token = found.pop()
                 at -= len(token)
-                token = self.shorter(token, len(token))
+                token = shorter[token]
             else:
                 raise ValueError("the ranks lack a byte of the text")
-        return [self.ranks[token] for token in found[1:]]
+        return [ranks[token] for token in found[1:]]
 
     def encode_unit(self, unit: str) -> list[int]:
-        return [i for piece in self.pieces.findall(unit) for i in self.piece_ids[piece]]
+        pieces = self.pieces.findall(unit)
+        if len(pieces) == 1:
+            return self.encode_piece(pieces[0])  # kept with the unit
+        return [i for piece in pieces for i in self.piece_ids[piece]]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, each match of the pattern encoded by itself.
