@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import paths
 from ..functions.paths import any_contains
 from ..sources.coverage_reports import KINDS
-from .ranking import PRIORITY_ORDER, rank_of, top_k
+from .ranking import PRIORITY_ORDER, ordered_rank, rank_of, top_k
 
 # Default thresholds.
 THRESHOLDS = {"lines": 80.0, "functions": 80.0, "branches": 75.0, "statements": 80.0}
@@ -121,14 +121,12 @@ def gap_summary(files: DataFrame, gaps: DataFrame) -> DataFrame:
     return joined.withColumn("tested", F.col("files") - F.col("gaps"))
 
 
-def critical_gaps(gaps: DataFrame, usual: int = 20, reduced: int = 10, large: int = 50) -> DataFrame:
-    """First critical and high gaps per project; fewer when there are many gaps."""
-    ordered = gaps.withColumn("_p", rank_of(F.col("priority"), PRIORITY_ORDER))
-    urgent = ordered.filter(F.col("priority").isin("critical", "high"))
-    first = top_k(urgent, ["project"], [F.col("_p"), F.desc("complexity"), F.col("path")], usual)
-    sizes = gaps.groupBy("project").agg(F.count(F.lit(1)).alias("_gaps"))
-    cap = F.when(F.col("_gaps") > large, reduced).otherwise(usual)
-    return first.join(sizes, "project").filter(F.col("rank") <= cap).drop("_p", "_gaps")
+def critical_gaps(gaps: DataFrame, limit: int | None = None) -> DataFrame:
+    """Critical and high gaps, ranked within their project; ``limit`` ends the list."""
+    urgent = gaps.filter(F.col("priority").isin("critical", "high")).withColumn("_p", rank_of(F.col("priority"), PRIORITY_ORDER))
+    if limit is not None:
+        return top_k(urgent, ["project"], [F.col("_p"), F.desc("complexity"), F.col("path")], limit).withColumn("rank", F.col("rank").cast("bigint")).drop("_p")
+    return ordered_rank(urgent.withColumn("_c", -F.col("complexity")), ["project"], ["_p", "_c", "path"]).drop("_p", "_c")
 
 
 MOBILE, VUE = ("react-native", "expo"), ("vue3", "nuxt3")

@@ -99,14 +99,17 @@ def severity_by_category(findings: DataFrame) -> DataFrame:
     )
 
 
-def security_score(findings: DataFrame, practices: DataFrame, files: DataFrame) -> DataFrame:
-    """Score 0-100 and risk level per project; projects without findings score too."""
+def security_score(findings: DataFrame, practices: DataFrame, files: DataFrame, large_bonus: int = 5) -> DataFrame:
+    """Score 0-100 and risk level per project; projects without findings score too.
+
+    ``large_bonus`` is added for projects with more than 100 files; 0 leaves size out of the score.
+    """
     bad = severity_summary(findings)
     good = practices.groupBy("project").agg(F.count(F.lit(1)).alias("positives"))
     size = files.groupBy("project").agg(F.count(F.lit(1)).alias("files"))
     joined = size.join(bad, "project", "left").join(good, "project", "left").na.fill(0)
     score = F.lit(100) - sum(F.col(s) * w for s, w in WEIGHTS.items())
-    score = score + F.least(F.lit(10), F.col("positives") * 2) + F.when(F.col("files") > 100, 5).otherwise(0)
+    score = score + F.least(F.lit(10), F.col("positives") * 2) + F.when(F.col("files") > 100, large_bonus).otherwise(0)
     return joined.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int")).withColumn(
         "risk", risk_level(F.col("score"))
     )

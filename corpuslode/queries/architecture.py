@@ -61,9 +61,8 @@ def ui_element_counts(spark, sf):
     return ar.ui_counts(code_files(spark, sf))
 
 
-@query("W3 F5", lambda: f"""WITH {corpus_ctes('imports')}, {FACTS_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY project) AS n FROM facts),
-r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY complexity DESC, path) AS rank FROM n WHERE n <= 100 OR complexity >= 10)
-SELECT project, path, CAST(complexity AS INT) AS complexity, CAST(lines AS INT) AS lines, CAST(rank AS INT) AS rank FROM r WHERE rank <= CASE WHEN n > 100 THEN 50 ELSE 100 END""")
+@query("W3 F5", lambda: f"""WITH {corpus_ctes('imports')}, {FACTS_SQL}
+SELECT project, path, CAST(complexity AS INT) AS complexity, CAST(lines AS INT) AS lines, row_number() OVER (PARTITION BY project ORDER BY complexity DESC, path) AS rank FROM facts""")
 def complex_files(spark, sf):
     return ar.complex_files(_facts(spark, sf)).select("project", "path", "complexity", "lines", "rank")
 
@@ -81,9 +80,9 @@ def framework_convention_facts(spark, sf):
     return ar.framework_conventions(code_files(spark, sf))
 
 
-@query("A35", lambda: f"""WITH {corpus_ctes('imports')}, {FACTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY complexity DESC, path) AS rank FROM facts WHERE complexity >= 20),
+@query("A35", lambda: f"""WITH {corpus_ctes('imports')}, {FACTS_SQL},
 t AS (SELECT project, CAST(count(*) AS DOUBLE) AS files, CAST(sum(lines) AS DOUBLE) AS lines, avg(complexity) AS avg_complexity, CAST(max(complexity) AS DOUBLE) AS max_complexity FROM facts GROUP BY project)
-SELECT project, 'committed' AS scope, 'insight' AS type, path AS subject, CAST(complexity AS DOUBLE) AS value, CAST(0.9 AS DOUBLE) AS confidence FROM r WHERE rank <= 10
+SELECT project, 'committed' AS scope, 'insight' AS type, path AS subject, CAST(complexity AS DOUBLE) AS value, CAST(0.9 AS DOUBLE) AS confidence FROM facts WHERE complexity >= 20
 UNION ALL SELECT project, 'local', 'fact', subject, value, 1.0 FROM t UNPIVOT (value FOR subject IN (files, lines, avg_complexity, max_complexity))""")
 def architecture_insights(spark, sf):
     return ar.insights(_facts(spark, sf))

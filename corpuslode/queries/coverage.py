@@ -173,10 +173,9 @@ def coverage_gap_summary(spark, sf):
     return cv.gap_summary(_files(spark, sf), _gaps(spark, sf))
 
 
-@query("W2 W5", lambda: f"""WITH {gap_ctes()},
-o AS (SELECT *, count(*) OVER (PARTITION BY project) AS n FROM gaps),
-r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY CASE priority WHEN 'critical' THEN 0 ELSE 1 END, complexity DESC, path) AS rank FROM o WHERE priority IN ('critical', 'high'))
-SELECT project, path, priority, CAST(complexity AS INT) AS complexity, CAST(rank AS INT) AS rank FROM r WHERE rank <= CASE WHEN n > 50 THEN 10 ELSE 20 END""")
+@query("W2 W5", lambda: f"""WITH {gap_ctes()}
+SELECT project, path, priority, CAST(complexity AS INT) AS complexity,
+  row_number() OVER (PARTITION BY project ORDER BY CASE priority WHEN 'critical' THEN 0 ELSE 1 END, complexity DESC, path) AS rank FROM gaps WHERE priority IN ('critical', 'high')""")
 def critical_coverage_gaps(spark, sf):
     return cv.critical_gaps(cut(_gaps(spark, sf))).select("project", "path", "priority", "complexity", "rank")
 
