@@ -24,8 +24,11 @@ COMMON_WORDS = tuple(sorted(set(
     + "el los y se del las con su para como es al lo una por más".split())))
 # Character classes, in the order in which they are taken out of a text; what is left is the last class.
 CLASSES = ("[a-z]+", r"[\x20\x09-\x0D]+", "[A-Z]+", "[0-9]+", r"[#*$%&|<>]+", r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+")
-# A language with at least one document in a thousand has a reference of its own, so there are at most a thousand; the rest share one.
-LANGUAGE_SHARE = 0.001
+# Most references that are broadcast; more of them meet the texts in a shuffle, each under this many salts.
+BROADCAST_REFERENCES = 1000
+SALTS = 64
+# Fewest texts whose mean is a reference; with fewer in a language, that histogram does not count.
+REFERENCE_TEXTS = 10
 
 
 @dataclass(frozen=True)
@@ -119,11 +122,11 @@ def _histograms(facts: Column, limits: QualityLimits) -> list[Column]:
             F.when(facts["n_words"] >= limits.word_count, _shares(facts["commons"])).alias("commons")]
 
 
-def references(docs: DataFrame, limits: QualityLimits, text: str = "text", lang: str = "lang") -> tuple[DataFrame, list[float] | None, list[float] | None]:
-    """Mean histograms: a table ``(_language, class_reference, word_reference)``, and those of all texts together.
+def references(docs: DataFrame, limits: QualityLimits, text: str = "text", lang: str = "lang") -> tuple[DataFrame, int]:
+    """Mean histograms of every language: a table ``(_language, class_reference, word_reference)``, and its number of rows.
 
-    The table has the languages with a share of the documents of at least
-    ``LANGUAGE_SHARE``; a null language is one of its own, here the empty string.
+    A null language is one of its own, here the empty string.  A reference is
+    null with fewer than ``REFERENCE_TEXTS`` texts long enough for it.
     """
     body = whole(text)
     facts = bind(words_of(F.col(text)), lambda w: F.struct(
@@ -131,12 +134,20 @@ def references(docs: DataFrame, limits: QualityLimits, text: str = "text", lang:
     shares = docs.select(_language(lang), facts.alias("f")).select("_language", *_histograms(F.col("f"), limits))
     bins = [("c", "classes", i) for i in range(len(CLASSES) + 1)] + [("w", "commons", i) for i in range(len(COMMON_WORDS) + 1)]
     sums = cut(shares.groupBy("_language").agg(
-        F.count("*").alias("n"), F.count("classes").alias("nc"), F.count("commons").alias("nw"), *[F.sum(F.col(col)[i]).alias(f"{k}{i}") for k, col, i in bins]))
+        F.count("classes").alias("nc"), F.count("commons").alias("nw"), *[F.sum(F.col(col)[i]).alias(f"{k}{i}") for k, col, i in bins]))
     names = {k: [f"{kind}{i}" for kind, _, i in bins if kind == k] for k in "cw"}
-    total = sums.agg(*[F.sum(c).alias(c) for c in ("n", "nc", "nw", *names["c"], *names["w"])]).first()
-    pooled = {k: [total[c] / total[f"n{k}"] for c in names[k]] if total[f"n{k}"] else None for k in "cw"}
-    means = [F.when(F.col(f"n{k}") > 0, F.array(*[F.col(c) / F.col(f"n{k}") for c in names[k]])).alias(out) for k, out in (("c", "class_reference"), ("w", "word_reference"))]
-    return sums.where(F.col("n") >= LANGUAGE_SHARE * (total["n"] or 0)).select("_language", *means), pooled["c"], pooled["w"]
+    means = [F.when(F.col(f"n{k}") >= REFERENCE_TEXTS, F.array(*[F.col(c) / F.col(f"n{k}") for c in names[k]])).alias(out)
+             for k, out in (("c", "class_reference"), ("w", "word_reference"))]
+    return sums.select("_language", *means), sums.count()
+
+
+def _with_references(docs: DataFrame, table: DataFrame, languages: int) -> DataFrame:
+    """Rows with the references of their ``_language``; a language's rows are dealt out over ``SALTS`` parts where the table is shuffled."""
+    if languages <= BROADCAST_REFERENCES:
+        return docs.join(F.broadcast(table), "_language", "left")
+    dealt = docs.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(salted.hint("shuffle_hash"), ["_language", "_salt"], "left").drop("_salt")
 
 
 def _language(lang: str) -> Column:
@@ -148,26 +159,23 @@ def quality_rules(docs: DataFrame, limits: QualityLimits = QualityLimits(), text
 
     A text fails the base rules with fewer than 20 words, or with more than 30 %
     of them in repeated windows; null and empty texts have no words.  A distance
-    is null where the guard does not let it count, and then rejects nothing.
-    Every row is judged by itself, so ties and repeated rows need no rule; all
-    columns stay, one named ``quality`` is replaced.  The text is read twice, for
-    the references and for the verdicts, and nothing but sums is shuffled.
+    is null where the guard does not let it count, or the language has too few
+    texts for a reference, and then rejects nothing.  Every row is judged by its
+    own language alone, so ties and repeated rows need no rule; all columns stay,
+    one named ``quality`` is replaced.  The text is read twice, for the references
+    and for the verdicts.  Nothing but sums is shuffled up to
+    ``BROADCAST_REFERENCES`` languages; with more, the rows are.
     """
-    table, class_pool, word_pool = references(docs, limits, text, lang)
-
-    def literal(values: list[float] | None) -> Column:
-        return F.lit(None).cast("array<double>") if values is None else F.array(*map(F.lit, values))
-
-    # At most 1 / LANGUAGE_SHARE rows.
-    judged = measured(docs.drop("quality"), text).withColumn("_language", _language(lang)).join(F.broadcast(table), "_language", "left")
+    table, languages = references(docs, limits, text, lang)
+    judged = _with_references(measured(docs.drop("quality"), text).withColumn("_language", _language(lang)), table, languages)
     fact = F.col("_facts")
     classes, commons = _histograms(fact, limits)
     base_failed = (fact["n_words"] < 20) | (100 * fact["n_repeat_words"] > 30 * fact["n_words"])
     verdict = F.struct(
         fact["n_words"].alias("n_words"), (fact["n_chars"] - fact["classes"][1]).alias("word_chars"), fact["classes"][4].alias("n_symbols"),
         fact["n_dup_lines"].alias("n_dup_lines"), fact["n_repeat_words"].alias("n_repeat_words"), base_failed.alias("base_failed"),
-        jensen_shannon(classes, F.coalesce("class_reference", literal(class_pool))).alias("class_distance"),
-        jensen_shannon(commons, F.coalesce("word_reference", literal(word_pool))).alias("word_distance"))
+        jensen_shannon(classes, F.col("class_reference")).alias("class_distance"),
+        jensen_shannon(commons, F.col("word_reference")).alias("word_distance"))
     kept = (~F.col("quality.base_failed") & (F.coalesce(F.col("quality.class_distance"), F.lit(0.0)) <= limits.class_distance)
             & (F.coalesce(F.col("quality.word_distance"), F.lit(0.0)) <= limits.word_distance))
     return (judged.withColumn("quality", verdict).withColumn("quality", F.col("quality").withField("kept", kept))

@@ -86,6 +86,30 @@ def test_divergence_rejects_the_odd_one_out(documents):
     assert abs(df.first()["d"] - want) < 1e-12
 
 
+def test_rare_languages_are_judged_by_themselves(documents, monkeypatch):
+    big = [f"the cat of number {i} and the dog were in a house that is on the hill for a while and it was {i} as with all " * 6 for i in range(60)]
+    rare = [f"кошка номер {i} сидела дома целый день пока шёл дождь за окном старого дома у реки {i} там " * 6 for i in range(12)]
+    few = [f"γάτα νούμερο {i} ήταν στο σπίτι όλη την ημέρα όσο έβρεχε έξω από το παλιό σπίτι δίπλα στο ποτάμι {i} εκεί " * 6 for i in range(3)]
+
+    def made(n):
+        texts = [*big * n, *rare, *few]
+        lang = F.when(F.col("doc_id") < len(big) * n, "en").when(F.col("doc_id") < len(big) * n + len(rare), F.lit(None)).otherwise("el")
+        got = {r["doc_id"] - len(big) * n: r["quality"] for r in quality.quality_rules(documents(texts).withColumn("lang", lang)).collect()}
+        return [got[i] for i in range(len(rare) + len(few))]
+
+    def near(found):
+        return [(round(q["class_distance"], 9), round(q["word_distance"], 9)) for q in found[:len(rare)]]
+
+    limits = quality.QualityLimits()
+    for n in (1, 250):  # 250: the rare languages are under a thousandth of the rows
+        found = made(n)
+        assert all(q["class_distance"] is not None and q["class_distance"] < limits.class_distance and q["word_distance"] < limits.word_distance for q in found[:len(rare)])
+        assert all(q["class_distance"] is None and q["word_distance"] is None for q in found[len(rare):])
+    want = near(found)
+    monkeypatch.setattr(quality, "BROADCAST_REFERENCES", 2)
+    assert near(made(1)) == want
+
+
 def brute_licenses(text):
     body = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", body)
