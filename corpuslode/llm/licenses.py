@@ -1,19 +1,26 @@
 """License scan by an exact set-similarity join.
 
-Text blocks (lines) are joined with license templates on their token sets: a
-block holds a template if at least ``threshold`` of the template's distinct
-tokens occur in it.  Tokens are ordered by their document frequency in the whole
+Text blocks are joined with license templates on their token sets: a block holds
+a template if at least ``threshold`` of the template's distinct tokens occur in
+it.  Blocks are lines, paragraphs (lines up to one without a token), so that a
+verdict does not depend on where a sentence wraps, and every run of as many
+consecutive tokens as the template has, with room for others in between, so that
+a sentence is found across any line ends.  Tokens are ordered by their document frequency in the whole
 corpus, rarest first.  A template is indexed under the tokens of its prefix only:
 a block without any of them misses too many tokens.  The length filter leaves out
 blocks with too few tokens, the positional filter pairs whose remaining tokens
-cannot reach the overlap; what is left is counted exactly.
+cannot reach the overlap; what is left is counted exactly.  Every block is a part
+of its text, so a text whose token set as a whole holds no template has no block
+that does.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -56,31 +63,109 @@ class TemplateIndex:
         vocabulary = sorted(frozenset().union(*(s for _, s in sets)), key=lambda t: (frequency.get(t, 0), t))
         self.order = {token: i for i, token in enumerate(vocabulary)}
         self.templates = []
+        self.widths: list[int] = []  # tokens of a run
         self.prefixes: dict[bytes, list[tuple[int, int]]] = {}
         for number, (label, members) in enumerate(sets):
             ordered = sorted(members, key=self.order.__getitem__)
             least = math.ceil(threshold * len(ordered) - 1e-9)
             self.templates.append((label, members, least))
+            self.widths.append(math.ceil(len(tokens(templates[number][1].encode())) / threshold - 1e-9))
             for position, token in enumerate(ordered[:len(ordered) - least + 1]):
                 self.prefixes.setdefault(token, []).append((number, position))
         self.keys = frozenset(self.prefixes)
 
-    def matches(self, block: Sequence[bytes]) -> Iterator[tuple[str, float]]:
-        """Labels and shares of the templates that the block holds."""
+    def held(self, block: Sequence[bytes]) -> list[int]:
+        """Numbers of the templates that the block holds."""
         members = frozenset(block)
         ordered = sorted(members & self.order.keys(), key=self.order.__getitem__)
-        seen = set()
+        seen, found = set(), []
         for position, token in enumerate(ordered):
             for number, place in self.prefixes.get(token, ()):
-                label, wanted, least = self.templates[number]
+                _, wanted, least = self.templates[number]
                 if number in seen or len(members) < least:
                     continue
                 if 1 + min(len(wanted) - place, len(ordered) - position) - 1 < least:
                     continue
                 seen.add(number)
-                shared = len(wanted & members)
-                if shared >= least:
-                    yield label, shared / len(wanted)
+                if len(wanted & members) >= least:
+                    found.append(number)
+        return found
+
+    def matches(self, block: Sequence[bytes]) -> Iterator[tuple[str, float]]:
+        """Labels and shares of the templates that the block holds."""
+        members = frozenset(block)
+        for number in self.held(block):
+            label, wanted, _ = self.templates[number]
+            yield label, len(wanted & members) / len(wanted)
+
+    def places(self, words: Sequence[bytes], starts: Sequence[int]) -> list[tuple[int, str, float]]:
+        """``(line, label, share)`` of the blocks of a text that hold a template; ``starts`` has the first token of each line.
+
+        A paragraph or a run is listed, at its first line, where it holds more
+        than the listed blocks it has a part in.
+        """
+        out = []
+        for number in self.held(words):
+            label, wanted, least = self.templates[number]
+            hits = [i for i, word in enumerate(words) if word in wanted]
+            # Blocks as (first token, token behind the last, share), smaller kinds first.
+            listed: list[tuple[int, int, float]] = []
+            for blocks in (_lines(starts, len(words)), _paragraphs(starts, len(words)), _runs(words, hits, self.widths[number], least)):
+                more = []
+                for first, last in blocks:
+                    inside = hits[bisect_left(hits, first):bisect_left(hits, last)]
+                    if len(inside) < least:
+                        continue
+                    share = len({words[i] for i in inside}) / len(wanted)
+                    if share * len(wanted) >= least - 1e-9 and not any(a < last and first < b and share <= c for a, b, c in listed):
+                        more.append((first, last, share))
+                listed += more
+            out += [(bisect_right(starts, first) - 1, label, share) for first, _, share in listed]
+        return sorted(out)
+
+
+def _lines(starts: Sequence[int], end: int) -> Iterator[tuple[int, int]]:
+    """Lines with a token."""
+    yield from ((a, b) for a, b in zip(starts, [*starts[1:], end]) if a < b)
+
+
+def _paragraphs(starts: Sequence[int], end: int) -> Iterator[tuple[int, int]]:
+    """Consecutive lines with a token, as one."""
+    first = None
+    for a, b in zip(starts, [*starts[1:], end]):
+        if a < b:
+            first = a if first is None else first
+        elif first is not None:
+            yield first, a
+            first = None
+    if first is not None:
+        yield first, end
+
+
+def _runs(words: Sequence[bytes], hits: Sequence[int], width: int, least: int) -> Iterator[tuple[int, int]]:
+    """Of every group of overlapping runs of ``width`` tokens with ``least`` distinct hits, the first that has most.
+
+    A run that starts and ends at a hit stands for all that have the same hits.
+    """
+    counts: dict[bytes, int] = {}
+    first, best, until = 0, None, -1
+    for last, at in enumerate(hits):
+        counts[words[at]] = counts.get(words[at], 0) + 1
+        while hits[first] <= at - width:
+            counts[words[hits[first]]] -= 1
+            if not counts[words[hits[first]]]:
+                del counts[words[hits[first]]]
+            first += 1
+        if len(counts) < least:
+            continue
+        if best is not None and hits[first] >= until:
+            yield best[1:]
+            best = None
+        if best is None or len(counts) > best[0]:
+            best = (len(counts), hits[first], at + 1)
+        until = at + 1
+    if best is not None:
+        yield best[1:]
 
 
 def token_frequency(docs: DataFrame, vocabulary: frozenset[bytes], text: str = "text") -> dict[bytes, int]:
@@ -120,8 +205,8 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     are their least and greatest start (null without one).  ``labels`` adds the
     labels of templates to those of phrases; both are distinct, sorted and joined
     by commas.  ``score`` is 1 with a phrase, else the greatest share of a
-    template that a line holds, 0 if none reaches the threshold.  ``blocks``
-    lists those lines as ``(line, label, share)``, lines from 0.  Null and empty
+    template that a block holds, 0 if none reaches the threshold.  ``blocks``
+    lists those blocks as ``(line, label, share)`` by their first line, lines from 0.  Null and empty
     texts have no words; rows that repeat get equal answers.
     """
     vocabulary = frozenset(t for _, body in templates for t in tokens(body.encode()))
@@ -138,8 +223,8 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
                 base = phrase_places(words, wanted) if any(s in body for s in starters) else []
                 blocks = []
                 if not index.keys.isdisjoint(words):
-                    for number, line in enumerate(body.split(b"\n")):
-                        blocks += [{"line": number, "label": label, "share": share} for label, share in index.matches(_TOKEN.findall(line))]
+                    starts = [0, *accumulate(len(_TOKEN.findall(line)) for line in body.split(b"\n"))][:-1] if index.held(words) else []
+                    blocks = [{"line": line, "label": label, "share": share} for line, label, share in index.places(words, starts)] if starts else []
                 own = {label for _, label in base}
                 rows.append((key, len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(own)),
                              ",".join(sorted(own | {b["label"] for b in blocks})), 1.0 if base else max((b["share"] for b in blocks), default=0.0), blocks))

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 import struct
 import zlib
@@ -140,6 +141,54 @@ def test_license_scan(spark, documents, odd, rows, tmp_path):
     assert op6_licenses(spark, str(tmp_path)).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files (the "Software"), to
+deal in the Software without restriction."""
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:"""
+APACHE = """ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND."""
+
+
+def brute_shares(text):
+    """Greatest share of each label over lines, paragraphs and all runs of tokens."""
+    lines = [re.findall(r"[0-9a-z]+", line) for line in text.lower().split("\n")]
+    words = [w for line in lines for w in line]
+    paragraphs = [[]]
+    for line in lines:
+        paragraphs = [*paragraphs[:-1], paragraphs[-1] + line] if line else [*paragraphs, []]
+    best = {}
+    for label, template in licenses.TEMPLATES:
+        own = re.findall(r"[a-z0-9]+", template.lower())
+        width = math.ceil(len(own) / 0.9)
+        for block in [*lines, *paragraphs, *(words[i:i + width] for i in range(len(words)))]:
+            share = len(set(own) & set(block)) / len(set(own))
+            if share >= 0.9:
+                best[label] = max(share, best.get(label, 0))
+    return best
+
+
+def test_wrapped_licenses(documents):
+    rest = "one line before\n\n"
+    broken = MIT.replace("to any person", "to\n\n any person")
+    texts = [rest + MIT, BSD, rest + APACHE + "\nand more", broken, "granted hereby is\npermission", MIT + "\n\n" + APACHE, MIT.replace("\n", " ")]
+    pick = random.Random(4)
+    own = re.findall(r"[a-z0-9]+", licenses.TEMPLATES[1][1].lower())
+    for _ in range(200):
+        words = [w for w in own * 2 if pick.random() < 0.95]
+        for _ in range(pick.randrange(6)):
+            words.insert(pick.randrange(len(words)), "other")
+        texts.append("".join(w + pick.choice([" ", " ", " ", "\n", "\n\n"]) for w in words[pick.randrange(12):len(words) - pick.randrange(14)]))
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(documents(texts)).collect()}
+    assert [got[i]["labels"] for i in range(7)] == ["mit", "bsd", "apache", "mit", "", "apache,mit", "mit"]
+    assert [(b["line"], b["label"]) for b in got[0]["blocks"]] == [(2, "mit")]
+    for i, text in enumerate(texts):
+        want = brute_shares(text)
+        assert got[i]["labels"] == ",".join(sorted(want)) and abs(got[i]["score"] - max(want.values(), default=0.0)) < 1e-12
+
+
 def test_prefix_index_loses_no_template():
     index = licenses.TemplateIndex([("x", "a b c d e f g h i j")], {b"a": 5, b"j": 1}, 0.7)
     letters = [bytes([c]) for c in b"abcdefghij"]
