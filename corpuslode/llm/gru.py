@@ -4,8 +4,8 @@ Symbols are the frequent words and the classes of all others.  A symbol's
 probability is that of its output class given the state, times, for a frequent
 word, a softmax within the class.  Documents run one after the other in lanes, all
 lanes a step at a time; the state is carried over window borders through a whole
-document and starts at zero with each.  Training cuts the gradient at windows, and
-every other window gives one.
+document and starts at zero with each.  Training cuts the gradient at windows; each
+gives one.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from dataclasses import dataclass
 import numpy as np
 
 WINDOW = 32
-# One window in ``STRIDE`` gives a gradient; the state runs through all of them.
-STRIDE = 2
 LANES = 512
 
 
@@ -245,12 +243,9 @@ class Trainer:
 
     def learn(self, documents: Sequence[np.ndarray]) -> None:
         state = None
-        for number, (source, target, owner, fresh) in enumerate(lanes(documents, self.model.shape)):
+        for source, target, owner, fresh in lanes(documents, self.model.shape):
             if state is None:
                 state = np.zeros((source.shape[1], self.model.shape.state), np.float32)
-            if number % STRIDE:
-                state = self.model._run(source, fresh, state)[1]
-                continue
             slope, state, count = self.model.gradient(source, target, owner, fresh, state)
             if not count:
                 continue

@@ -145,6 +145,15 @@ def test_gradient_is_the_slope_of_the_loss():
             assert abs((loss(up) - loss(down)) / 0.04 - slope[i]) < 2e-3
 
 
+def test_every_training_symbol_gives_a_gradient():
+    shape = gru.Shape(20, 4, per_class=5)
+    rng = np.random.default_rng(3)
+    documents = [rng.integers(0, 24, n).astype(np.int32) for n in (300, 1, 65, 0, 40, 129)]
+    trainer = gru.Trainer(gru.first_parameters(shape, np.ones(24)), shape)
+    trainer.learn(documents)
+    assert trainer.symbols == sum(map(len, documents))
+
+
 def test_state_carries_through_a_document_and_no_further():
     shape = gru.Shape(20, 4, per_class=5)
     model = gru.Gru(gru.first_parameters(shape, np.ones(24)), shape)
