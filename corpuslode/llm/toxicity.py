@@ -5,7 +5,8 @@ document counts: an expression counts once per document, so repeated lines weigh
 no more than others.  Each class discounts its bigrams and gives the freed mass to
 its unigrams, which in turn back off to continuation counts that the classes
 share.  Expressions that are rare, or spread over the classes as chance would have
-it, stay in the shared counts alone, where both classes agree.  A text is scored in windows over its whole length: the
+it, stay in the shared counts alone, where both classes agree.  A bigram is judged
+by its own counts, also where its words are neutral by themselves.  A text is scored in windows over its whole length: the
 highest length-normalised difference of the two log-likelihoods, put through a
 logistic curve that the training documents fix.
 """
@@ -134,19 +135,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, most: int
     frequent = table.where((F.col("first") != F.lit(START)) & decided(MIN_BIGRAM, prior))
     firsts = after.join(frequent.select("first").distinct(), "first").toPandas().set_index("first")
     pairs = frequent.toPandas()
-    if not len(words):
+    # Words of such bigrams, as first or second, that are neutral by themselves: the classes share their estimate.
+    members = frequent.select(F.explode(F.array("first", "second")).alias("second")).distinct()
+    neutral_words = counted.join(members, "second").where(~decided(MIN_WORD, prior)).toPandas().sort_values("second", ignore_index=True)
+    if not len(words) and not len(neutral_words):
         return neutral
-    shared = words["contexts"].to_numpy() / all_contexts
-    unigram = {kind: _discounted(words[kind].to_numpy(float), total[kind], shared) for kind in ("toxic", "ordinary")}
-    index = {w: i for i, w in enumerate(words["second"])}
+    shared = words["contexts"].to_numpy(float) / all_contexts
+    alike = neutral_words["contexts"].to_numpy(float) / all_contexts
+    unigram = {kind: np.concatenate([_discounted(words[kind].to_numpy(float), total[kind], shared), alike]) for kind in ("toxic", "ordinary")}
+    index = {w: i for i, w in enumerate([*words["second"], *neutral_words["second"]])}
     keys, ratios = [], []
     for first, group in pairs.groupby("first", sort=False):
-        at = [i for i, w in enumerate(group["second"]) if w in index] if first in index else []
-        if at:
-            second = np.array([index[group["second"].iloc[i]] for i in at], np.int64)
-            given = {kind: _discounted(group[kind].to_numpy(float)[at], max(float(firsts.at[first, kind]), 1.0), unigram[kind][second]) for kind in unigram}
-            keys.append(index[first] * len(index) + second)
-            ratios.append(np.log(given["toxic"] / given["ordinary"]))
+        second = np.array([index[w] for w in group["second"]], np.int64)
+        given = {kind: _discounted(group[kind].to_numpy(float), max(float(firsts.at[first, kind]), 1.0), unigram[kind][second]) for kind in unigram}
+        keys.append(index[first] * len(index) + second)
+        ratios.append(np.log(given["toxic"] / given["ordinary"]))
     keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
     ratios = np.concatenate(ratios) if ratios else np.zeros(0)
     order = np.argsort(keys)

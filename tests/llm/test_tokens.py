@@ -118,3 +118,20 @@ def test_toxicity_learns_and_generalises(spark, documents, odd):
     neutral = toxicity.fit_toxicity(docs, labels.limit(0), F.lit(True))
     assert all(r["predicted"] == 0 for r in toxicity.score_toxicity(docs, neutral).collect())
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_toxic_phrase_of_neutral_words(documents):
+    pick = random.Random(8)
+    texts, truth = [], []
+    for i in range(400):
+        words = pick.choices(["one", "two", "three", "four", "five", "six"], k=20)
+        truth.append(i % 4 == 0)
+        words[3:3], words[12:12] = (["green", "idea"], ["idea"]) if truth[-1] else (["idea", "green"], ["idea"])
+        texts.append(" ".join(words))
+    labels = documents(texts).sparkSession.createDataFrame([(i, int(t)) for i, t in enumerate(truth)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(documents(texts), labels, F.col("doc_id") < 300)
+    ratio = dict(zip(model.words, model.word_ratio))
+    key = model.words[b"green"] * len(model.words) + model.words[b"idea"]
+    assert abs(ratio[b"green"]) < 1e-9 and model.bigram_ratio[list(model.bigram_keys).index(key)] > 1
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(documents(texts), model).collect()}
+    assert all(got[i] == truth[i] for i in range(300, 400))
