@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslode.llm import near_duplicates, packing, quality, toxicity
-from corpuslode.llm.common import id_crc
+from corpuslode.llm.common import cut, id_crc, placed
 from corpuslode.llm.queries import ship, table
 from corpuslode.session import ensure_checkpoint_dir
 
@@ -32,10 +32,20 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, similarity 0.8 or more, the least id stays."""
+    """One row of each group: five-word shingles, similarity 0.8 or more, the least id stays.
+
+    Rows are told apart by their position, so ids may repeat or be null; of rows
+    with equal ids the first written stays, null ids come last.
+    """
     ship(spark)
-    dropped = near_duplicates.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    rows = placed(docs)
+    groups = near_duplicates.near_duplicates(rows, doc_id="_position").select(F.col("doc_id").alias("_position"), "component_id")
+    ranked = groups.join(rows.select("_position", "doc_id"), "_position").select(
+        "component_id", "_position", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_position").alias("place"))
+    ranked = cut(ranked)
+    best = ranked.groupBy("component_id").agg(F.count("*").alias("n"), F.min("place").alias("best")).where("n > 1").drop("n")
+    dropped = ranked.join(best, "component_id").where(F.col("_position") != F.col("best._position")).select("_position")
+    return rows.join(dropped, "_position", "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -207,3 +207,10 @@ def test_pipeline_stages(spark, documents, tmp_path):
     assert single.columns == columns and {r["doc_id"] for r in single.collect()} == set(range(30))
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()} == set(range(30))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "packing"]
+
+
+def test_near_duplicate_stage_with_repeated_and_null_ids(spark, documents):
+    z, a, b = prose(80, 901), prose(80, 902), prose(80, 903)
+    docs = documents([z, z, a, a, b, b, z, a], [1, 3, 3, 9, None, None, 1, None]).select("doc_id", "text", "lang", "source", "n_chars")
+    got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    assert got == {(1, z): 1, (3, a): 1, (None, b): 1}
