@@ -29,7 +29,6 @@ SHARES = {
     "breadth": {"files": 0.5, "dependencies": 0.2, "architecture": 0.15, "tests": 0.1, "types": 0.05},
     "depth": {"files": 0.7, "dependencies": 0.15, "architecture": 0.05, "tests": 0.05, "types": 0.05},
 }
-DEPENDENCY_LIMIT = 10
 
 # Characters that index the vocabulary; every term is at least this long.
 GRAM = 3
@@ -186,8 +185,8 @@ def pack(ranked: DataFrame, budgets: DataFrame, budget: str, category: str, stop
                          F.col("p.used").alias("tokens"), "p.truncated")
 
 
-def dependency_candidates(primary: DataFrame, imports: DataFrame, base: DataFrame, matched: DataFrame, analysed: DataFrame) -> DataFrame:
-    """Files that packed files import, the ten best by score; some may be packed already."""
+def dependency_candidates(primary: DataFrame, imports: DataFrame, base: DataFrame, matched: DataFrame, analysed: DataFrame, bound: int) -> DataFrame:
+    """Files that packed files import, the first ``bound`` by score; some may be packed already."""
     wanted = primary.select("project", "task_id", "path").join(imports.filter(F.col("source").startswith(".")), ["project", "path"])
     key = paths.normalize_path(F.concat(paths.dirname(F.col("path")), F.lit("/"), F.col("source")))
     wanted = wanted.select("project", "task_id", key.alias("key")).distinct()
@@ -200,21 +199,27 @@ def dependency_candidates(primary: DataFrame, imports: DataFrame, base: DataFram
     known = matched.select("project", "task_id", "path", F.col("score").alias("known"))
     plain = _with_score(scored.withColumn("points", F.lit(0).cast("bigint")))
     both = plain.join(known, ["project", "task_id", "path"], "left").withColumn("score", F.coalesce("known", "score")).drop("known")
-    return top_k(both.filter("tokens > 0"), ["project", "task_id"], [F.desc("score"), F.col("path")], DEPENDENCY_LIMIT)
+    return top_k(both.filter("tokens > 0"), ["project", "task_id"], [F.desc("score"), F.col("path")], bound)
 
 
-def context_pack(files: DataFrame, tasks: DataFrame, imports: DataFrame, focus: Sequence[str] = ()) -> DataFrame:
-    """Packed files of every task: primary, then dependencies, then tests."""
+def context_pack(files: DataFrame, tasks: DataFrame, imports: DataFrame, focus: Sequence[str] = (),
+                 dependency_limit: int | None = None) -> DataFrame:
+    """Packed files of every task: primary, then dependencies, then tests.
+
+    Dependencies are bounded by their budget, and by ``dependency_limit`` files if given.
+    """
     analysed = cut(allocate_budget(analyse_tasks(tasks)))
     base = cut(file_base(files, focus))
     matched = cut(matched_scores(files, analysed, focus))
-    bounds = analysed.agg(F.max("budget_files"), F.max("budget_tests")).collect()[0]  # two numbers
+    bounds = analysed.agg(F.max("budget_files"), F.max("budget_tests"), F.max("budget_dependencies")).collect()[0]  # three numbers
     primary = cut(pack(candidates(matched, base, analysed, max(1, bounds[0] or 1)), analysed, "budget_files", "primary", 0.9))
-    needed = dependency_candidates(primary, imports, base, matched, analysed)
+    # A packed file costs a token at least, so no more than the budget are packed.
+    most = max(1, bounds[2] or 1) if dependency_limit is None else dependency_limit
+    needed = dependency_candidates(primary, imports, base, matched, analysed, most)
     dependency = cut(pack(needed, analysed, "budget_dependencies", "dependency"))
     chosen = primary.unionByName(dependency).select("project", "task_id", "path")
     # Tests already chosen are at most the packed files, so the bound grows by those budgets.
-    deep = max(1, (bounds[1] or 0) + (bounds[0] or 0) + DEPENDENCY_LIMIT)
+    deep = max(1, (bounds[1] or 0) + (bounds[0] or 0) + most)
     tests = candidates(matched.filter("is_test"), base.filter("is_test"), analysed, deep).drop("rank")
     tests = tests.join(chosen, ["project", "task_id", "path"], "left_anti")
     ranked = top_k(tests, ["project", "task_id"], [F.desc("score"), F.col("path")], max(1, bounds[1] or 1))

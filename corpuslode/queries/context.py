@@ -101,7 +101,7 @@ def _files(spark, sf):
 
 def _pack(spark, sf):
     files = _files(spark, sf)
-    return cx.context_pack(files, tasks(spark, sf), facts.import_rows(files), FOCUS)
+    return cx.context_pack(files, tasks(spark, sf), facts.import_rows(files), FOCUS, dependency_limit=10)
 
 
 @query("P24 P25 W13", f"""WITH {TASKS_SQL}

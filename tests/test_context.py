@@ -71,3 +71,18 @@ def test_mentions_of_a_path(spark):
     assert "src/app/a-b.test" in got and "app/a-b.t" in got and "src/app/a-b" not in got
     for mention in got:
         assert re.fullmatch(tk.MENTION, mention) and mention in "my/src/app/a-b.test.ts"
+
+
+def test_dependencies_are_bounded_by_their_budget_alone(spark):
+    names = [f"part{i:02d}" for i in range(25)]
+    main = "".join(f"import {n} from './{n}';\n" for n in names) + "login " * 2000
+    rows = [("p", "src/login.ts", main)] + [("p", f"src/{n}.ts", f"export const {n} = 1;") for n in names]
+    files = spark.createDataFrame(rows, "project string, path string, content string")
+    tasks = spark.createDataFrame([("p", 1, "Fix login error in src/login.ts", 3000, "relevance")], "project string, task_id int, task string, max_tokens int, strategy string")
+
+    def packed(**bound):
+        rows = cx.context_pack(files, tasks, facts.import_rows(files), **bound).filter("category = 'dependency'")
+        return sorted(r.path for r in rows.collect())
+
+    assert packed() == [f"src/{n}.ts" for n in names]
+    assert packed(dependency_limit=10) == [f"src/{n}.ts" for n in names[:10]]
