@@ -8,10 +8,11 @@ import zipfile
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, fingerprints, language_model, licenses, near_duplicates, packing, quality, sharding, toxicity, url_rules
-from .common import id_crc, whole
+from . import (byte_bpe, fingerprints, language_model, licenses, merge_bpe, near_duplicates, packing, periodic_runs, quality, ranked_search, sharding, toxicity,
+               url_rules)
+from .common import bind, id_crc, whole, words_of
 
 SHARDS = 16
 SIZE = 1024
@@ -93,6 +94,63 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digest_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def planted(doc_id: str, text: str) -> Column:
+    """The text; where a tenth of the ids' hashes says so, its words from one place on repeat a few."""
+    crc = id_crc(doc_id)
+    seed = F.floor(crc / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        first = seed % n
+        period = 1 + F.floor((n - first) / (3 + seed % 8))
+        places = F.sequence(F.lit(0).cast("long"), n - 1)
+        return F.array_join(F.transform(places, lambda i: F.get(words, F.when(i < first, i).otherwise(first + (i - first) % period).cast("int"))), " ")
+
+    return F.when(crc % 10 == 0, bind(words_of(F.col(text)), lambda words: F.when(F.size(words) > 0, repeated(words)).otherwise(""))).otherwise(whole(text))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", planted("doc_id", "text").alias("text"))
+    found = periodic_runs.collapse_runs(docs)
+    # Of the longest runs the one that starts first; negative numbers make the largest struct the right one.
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"), F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_merge_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return merge_bpe.digest_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op11_sql() -> str:
+    """Every document against every item; a null id ranks last."""
+    return r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS doc,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+sizes AS (SELECT doc, doc_id, len(terms) AS n FROM words WHERE len(terms) > 0),
+sums AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+tfs AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM words) GROUP BY doc, term),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, sums GROUP BY term, n_docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN sizes USING (doc), sums GROUP BY item_id, doc, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50"""
+
+
 def op7_sql() -> str:
     """The verdicts without an index: every rule on every url."""
     own = "|".join("[^a-z0-9]".join(r.literals) for r in url_rules.PATTERN_RULES)
@@ -115,7 +173,7 @@ FROM ruled"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sharding, op2_quality, op3_packing, op4_toxicity, op5_language_model, op6_licenses, op7_url_filter,
-                            op8_near_duplicates, op9_fingerprints, op10_byte_bpe)}
+                            op8_near_duplicates, op9_fingerprints, op10_byte_bpe, op11_ranked_search, op12_periodic_runs, op13_merge_bpe)}
 
 # The others hash, tokenize or learn in ways SQL has no words for; tests hold them against brute force.
-SQL: dict[str, Callable[[], str]] = {"op7_url_filter": op7_sql}
+SQL: dict[str, Callable[[], str]] = {"op7_url_filter": op7_sql, "op11_ranked_search": op11_sql}
