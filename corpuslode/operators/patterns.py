@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..rules import PATTERNS
+from ..rules.access import with_property
 from ..rules.patterns import (
-    QUERY_WORDS, ROUTE_HOOKS, STREAM_OPERATORS, STREAM_SOURCES, STREAM_STORES, STREAM_WINDOWS, any_of,
+    QUERY_WORDS, ROUTE_HOOKS, STREAM_OPERATORS, STREAM_SOURCES, STREAM_STORES, STREAM_WINDOWS,
 )
 from .ranking import top_k
 from .scan import findings
@@ -32,8 +33,8 @@ def routes(found: DataFrame) -> DataFrame:
     method = F.upper(F.when(wide, F.when(verb == "", "GET").otherwise(verb)).otherwise(F.col("name")))
     target = F.when(wide, F.when(url == "", "unknown").otherwise(url)).otherwise(path)
     return found.filter(F.col("type") == "fastify-routes").select(
-        "project", "path", "line", method.alias("method"), target.alias("route"), text.rlike(r"\bschema\s*[:,}]").alias("has_schema"),
-        text.rlike(rf"\b({any_of(ROUTE_HOOKS)})\s*[:,}}(]").alias("has_hooks"))
+        "project", "path", "line", method.alias("method"), target.alias("route"), text.rlike(with_property(["schema"])).alias("has_schema"),
+        text.rlike(with_property(ROUTE_HOOKS)).alias("has_hooks"))
 
 
 def query_type(text: Column) -> Column:

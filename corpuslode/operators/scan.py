@@ -3,7 +3,8 @@
 Patterns are literals, so each is compiled once per task.  A rule's regex runs
 only on files that pass its cheap tests (framework, path, literals every match
 contains, imports); most files leave most rules after a substring search.
-There is no shuffle: a scan is one narrow stage over the corpus.
+There is no shuffle: a scan is one narrow stage over the corpus.  Rules about a
+call and its object share one bracket index per file (``functions/blocks.py``).
 
 Rules become Spark SQL expressions; a catalogue of hundreds of rules is parsed
 faster as text than it is built column by column.
@@ -15,6 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.blocks import find_blocks
 from ..functions.text import MARK, MARK_STANDIN
 from ..rules import Clause, Rule
 from .facts import with_imports
@@ -102,13 +104,20 @@ def _row(rule: Rule, line: str, matched: str = "''", value: str = "''", snippet:
             f"'value', {value}, 'snippet', {snippet})")
 
 
-def rule_hits(rule: Rule) -> str:
-    """SQL for the hits of one rule in one file: an array of structs, or null."""
+def rule_hits(rule: Rule, at: int = 0) -> str:
+    """SQL for the hits of one rule in one file: an array of structs, or null.
+
+    Hits of a block rule stand at ``at`` in the column ``blocks``.
+    """
     test = applies(rule)
     if rule.pattern is None:
         return f"CASE WHEN {test} THEN array({_row(rule, '0')}) END"
 
     source, pattern = rule.on, literal(rule.pattern)
+    if rule.block is not None:
+        judge = _judge(rule)
+        hits = f"filter(blocks[{at}], h -> {judge})" if judge else f"blocks[{at}]"
+        return f"CASE WHEN {test} AND size(blocks[{at}]) > 0 THEN transform({hits}, h -> {_row(rule, 'h.line', 'h.matched', 'h.value', _snippet(rule))}) END"
     if rule.more_than is not None and rule.line_zero:
         seen = f"size(regexp_extract_all({source}, {pattern}, 0)) > {rule.more_than}" if rule.more_than else f"rlike({source}, {pattern})"
         return f"CASE WHEN {test} AND {seen} THEN array({_row(rule, '0')}) END"
@@ -145,7 +154,12 @@ def scan(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     prepared = prepared.withColumn("lowered", F.lower(F.col("content"))).withColumn(
         "lines", F.split(F.col("content"), "\n", -1)
     )
-    found = ", ".join(rule_hits(rule) for rule in rules)
+    headed = [rule for rule in rules if rule.block is not None]
+    if headed:
+        any_head = " OR ".join(f"({applies(r)} AND rlike(code, {literal(r.pattern)}))" for r in headed)
+        text = F.expr(f"CASE WHEN {any_head} THEN code END")
+        prepared = prepared.withColumn("blocks", find_blocks(text, [(r.pattern, r.group, r.block) for r in headed]))
+    found = ", ".join(rule_hits(rule, headed.index(rule) if rule.block is not None else 0) for rule in rules)
     hits = F.expr(f"flatten(filter(array({found}), x -> x IS NOT NULL))")
     return (
         prepared.select("project", "path", "framework", F.explode_outer(hits).alias("hit"))

@@ -74,8 +74,65 @@ def _snippet_sql(rule: Rule) -> str:
     return f"substring(matched, 1, {rule.snippet_chars})" if rule.snippet_chars else "matched"
 
 
+def _braces(depth: int) -> str:
+    """An object with so many levels of objects in it; the fixture has fewer."""
+    return r"\{[^{}]*" + (rf"(?:{_braces(depth - 1)}[^{{}}]*)*" if depth else "") + r"\}"
+
+
+# Rules about a call and its object, typed out anew: head, what joins the object to it, whether it must be there,
+# and what becomes of a hit: ``m`` is its text without what lies deeper.
+_PATH = r"""\s*\(\s*['"`][^'"`\n]*['"`]\s*"""
+_OWN = r"[{,]\s*(?:async\s+)?(?:NAMES)\s*[:,}(]"
+_SENSITIVE = r"""(?i)^[^'"`]*['"`][^'"`]*(?:/api/[^'"`]*(?:user|admin|account|payment|order|profile|settings)|/private/|/internal/)"""
+_GUARDED = r"""(?i)^[^'"`]*['"`][^'"`]*(?:/users?|/admin|/account|/settings|/profile|/api/private|/payment|/order)"""
+BLOCK_RULES = {
+    ("Potentially Unprotected Sensitive Route", False): (
+        r"\.((?i:get|post|put|delete|patch))" + _PATH, r",\s*", "all",
+        f"regexp_matches(m, {quoted(_SENSITIVE)}) AND NOT regexp_matches(m, {quoted(_OWN.replace('NAMES', 'preHandler|onRequest|beforeHandler|middleware'))})"),
+    ("Route Without Schema Validation", False): (
+        r"\.((?i:post|put|patch))" + _PATH, r",\s*", "all", f"NOT regexp_matches(m, {quoted(_OWN.replace('NAMES', 'schema'))})"),
+    ("Sensitive Route Without Auth Hook", False): (
+        r"\.((?i:get|post|put|delete|patch))" + _PATH, r",\s*", "all",
+        f"regexp_matches(m, {quoted(_GUARDED)}) AND NOT regexp_matches(m, {quoted(_OWN.replace('NAMES', 'preHandler|onRequest|beforeHandler'))})"),
+    ("fastify-routes", False): (r"\.((?i:get|post|put|delete|patch|options|head))" + _PATH, r",\s*", "all", "true"),
+    ("fastify-routes", True): (r"\.(route)\s*\(\s*", "", "all", "true"),
+    ("kafka-producers", False): (r"\b((?i:\w*producer\w*))\.send\s*\(\s*", "", "objects", "true"),
+    ("kafka-consumers", False): (r"\b((?i:\w*consumer\w*))\.subscribe\s*\(\s*", "", "objects", "true"),
+    ("pinia-stores", False): (r"""\bdefineStore\s*\(\s*['"]([^'"\n]*)['"]""", r"\s*,\s*", "nothing", "true"),
+}
+
+
+def _without_inner(text: str, what: str) -> str:
+    """SQL for a hit with the brackets in its object emptied, the innermost ones first."""
+    if what == "nothing":
+        return text
+    body = f"regexp_extract({text}, '^[^{{]*\\{{([\\s\\S]*)\\}}$', 1)"
+    inner = body
+    for _ in range(6):
+        inner = f"regexp_replace({inner}, '\\{{[^{{}}]*\\}}', chr(1), 'g')" if what == "objects" else (
+            f"regexp_replace(regexp_replace(regexp_replace({inner}, '\\{{[^{{}}()\\[\\]]*\\}}', chr(1), 'g'), '\\([^{{}}()\\[\\]]*\\)', chr(2), 'g'), "
+            "'\\[[^{}()\\[\\]]*\\]', chr(3), 'g')")
+    filled = f"replace(replace(replace({inner}, chr(1), '{{}}'), chr(2), '()'), chr(3), '[]')"
+    return f"CASE WHEN contains({text}, '{{') THEN regexp_extract({text}, '^[^{{]*\\{{', 0) || {filled} || '}}' ELSE {text} END"
+
+
+def _block_select(rule: Rule) -> str:
+    head, link, emptied, judge = BLOCK_RULES[rule.title, rule.block.required]
+    pattern = quoted(head + (_braces(7) if rule.block.required else f"(?:{link}{_braces(7)})?"))
+    found = f"""SELECT *, regexp_extract_all(code, {pattern}, 0) AS ms, regexp_extract_all(code, {pattern}, 1) AS vs,
+        string_split_regex(code, {pattern}) AS gaps FROM imported WHERE {file_test_sql(rule)} AND regexp_matches(code, {pattern})"""
+    rows = f"""SELECT project, path, framework, content, vs[i] AS named, {_without_inner("ms[i]", emptied)} AS m,
+        len(string_split(array_to_string(gaps[1:i], '') || array_to_string(ms[1:i - 1], ''), chr(10))) AS line
+      FROM (SELECT *, unnest(generate_series(1, len(ms))) AS i FROM ({found}))"""
+    value = "named" if rule.kind else "m"
+    return (f"SELECT project, path, framework, {quoted(rule.rule_id)} AS rule_id, line AS line, {value} AS value, {_snippet_sql(rule)} AS snippet "
+            f"FROM (SELECT *, m AS matched FROM ({rows})) WHERE {judge}")
+
+
 def rule_select(rule: Rule) -> str:
     """Rows ``(project, path, framework, rule_id, line, value, snippet)`` of one rule."""
+    if rule.block is not None:
+        return _block_select(rule)
     rid, where = quoted(rule.rule_id), file_test_sql(rule)
     head = f"SELECT project, path, framework, {rid} AS rule_id"
     if rule.pattern is None:

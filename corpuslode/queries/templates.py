@@ -20,7 +20,7 @@ import { signUser } from '../utils/token-utils@P3@';
 import type { Session } from './session@P7@';
 
 const apiKey = "k9f8e7d6c5b4a39281@ID@";
-const endpoint = "http://billing.internal.corp/v@ID@";
+const endpoint = "http://billing.invalid/v@ID@";
 
 export async function loadUser@ID@(id: string) {
   if (id && endpoint) {
@@ -137,6 +137,15 @@ export default async function usersRoutes@ID@(fastify) {
     }
   });
   fastify.route({ method: 'DELETE', url: '/admin/cache', handler: () => 1 });
+  fastify.get('/api/accounts', { schema: { response: { ok: { type: { id: 1 } } } }, preHandler: [requireAccount] }, async () => 1);
+  fastify.post('/api/payments', {
+    schema: { body: { type: 'object', properties: { sum: { anyOf: [{ type: 'integer' }, { type: { a: 1 } }] } } } },
+  }, async () => 1);
+  fastify.patch('/api/settings', { config: { inner: { preHandler: 1, schema: { onRequest: 2 } } } }, async () => 1);
+  fastify.route({
+    method: 'PUT', schema: { body: { properties: { a: { method: 'NO', url: '/no', preHandler: { schema: 1 } } } } },
+    url: '/deep', preValidation: [(req) => req.ok(1)], handler: () => 1,
+  });
   fastify.register(fastifyPlugin);
   fastify.addHook('onRequest', () => 1);
 }
@@ -192,7 +201,7 @@ import { ref, computed } from 'vue';
 import { useCart@P1@ } from '../composables/useCart@P1@';
 
 export const useCartStore@ID@ = defineStore('cart@ID@', {
-  state: () => ({ items: [], token: '', total: 0 }),
+  state: () => ({ items: [], token: { value: { of: { any: { depth: '' } } } }, total: 0 }),
   getters: { count: (s) => s.items.length },
   actions: { add(item) { this.items.push(item); }, clear() { this.items = []; } },
 });
@@ -336,6 +345,7 @@ export async function run@ID@() {
   await orderConsumer.subscribe({ topics: ['orders', 'refunds'] });
   let w = 1, h = 2;
 """ + _branches(5) + """  await orderProducer.send({ topic: 'audit', messages: [] });
+  await orderProducer.send({ messages: [{ headers: { trace: { topic: 'inner', topics: ['x'] } } }], topic: 'deep' });
   await Task().fromKafka(orderConsumer).keyBy(x => x).tumblingWindowTime(60).aggregate('n').toStorage('s');
 }
 """),

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from ..functions.blocks import Block
 from .model import Rule, has, lacks, numbered
 
-# Possessive, so that the JVM matches an object of any size without recursion.
-OPTIONS_OBJECT = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
+# The options of a call stand behind its path.
+OPTIONS = Block(link=r",\s*")
 
 
 def route_call(methods: list[str]) -> str:
-    """A member call with a literal path and, when present, its options object."""
-    path = r"""['"`][^'"`\n]*['"`]"""
-    return rf"\.(?i:{'|'.join(methods)})\s*\(\s*{path}\s*(?:,\s*{OPTIONS_OBJECT})?"
+    """A member call with a literal path."""
+    return rf"""\.(?i:{'|'.join(methods)})\s*\(\s*['"`][^'"`\n]*['"`]\s*"""
+
+
+def with_property(names: list[str]) -> str:
+    """Options that have one of the properties themselves, not in an object within."""
+    return rf"[{{,]\s*(?:async\s+)?(?:{'|'.join(names)})\s*[:,}}(]"
 
 
 # Cross-origin forms (pattern, severity, status, literal in every match).
@@ -66,7 +71,7 @@ RULES = numbered("AC", [
           where=(has(content=["credentials: true"]), has(content=["origin: '*'", 'origin: "*']))),
     _rule("Potentially Unprotected Sensitive Route", "medium", 0.6, "CWE-306",
           route_call(HTTP_METHODS), (),
-          on="code", status="review", snippet="context", drop=tuple(ROUTE_GUARDS),
+          on="code", status="review", snippet="context", block=OPTIONS, drop_rx=with_property(ROUTE_GUARDS),
           keep_rx=r"""(?i)^[^'"`]*['"`][^'"`]*(?:/api/[^'"`]*(?:""" + "|".join(SENSITIVE_API) + ")|/private/|/internal/)"),
     *[
         _rule("Hardcoded Role Check", "low", 0.5, "CWE-863", pattern, gate, status="review")

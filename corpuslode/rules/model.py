@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from ..functions.blocks import Block
+
 FIELDS = ("path", "content", "imports", "import_part", "import_prefix", "import_named")
 
 
@@ -55,6 +57,7 @@ class Rule:
     pattern: str | None = None  # None: a file-level rule
     on: str = "content"  # or "code": the text without comments
     group: int = 0  # capture group that holds the judged value
+    block: Block | None = None  # the pattern is a head, and the object behind it belongs to the match
     gate: tuple[str, ...] = ()  # lower-case literals every match must contain
     where: tuple[Clause, ...] = ()
     frameworks: tuple[str, ...] = ()  # empty: all

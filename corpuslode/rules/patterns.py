@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from ..functions.blocks import Block
+from .access import OPTIONS
 from .injection import BARE_CALL
 from .model import Rule, has, numbered
 
@@ -77,10 +79,6 @@ def _p(kind, confidence, pattern, frameworks=(), gate=(), group=1, **extra) -> R
     )
 
 
-# Possessive, so that the JVM matches an object of any size without recursion.
-OBJECT = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
-STORE_OBJECT = r"\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}[^{}]*+)*+\}"
-
 RULES = numbered("PAT", [
     # react, react native, expo
     _p("hooks", 1.0, BARE_CALL + rf"({any_of(STANDARD_HOOKS)})\s*(?:<[^()]*>)?\s*\(", REACT, ("use",)),
@@ -110,7 +108,8 @@ RULES = numbered("PAT", [
     _p("rn-media", 1.0, _tag(MEDIA_TAGS), MOBILE),
     # vue, nuxt
     _p("composables", 0.95, r"\b(?:function|const|let|var)\s+(use[\w$]*)\s*[=(<]", VUE, ("use",)),
-    _p("pinia-stores", 1.0, rf"""\bdefineStore\s*\(\s*['"]([^'"\n]*)['"](?:\s*,\s*{STORE_OBJECT})?""", VUE, ("definestore",)),
+    _p("pinia-stores", 1.0, r"""\bdefineStore\s*\(\s*['"]([^'"\n]*)['"]""", VUE, ("definestore",),
+       block=Block(link=r"\s*,\s*", levels=3)),
     _p("vue-plugins", 1.0, r"\bexport\s+default\s+\{[^}]*?\b(install)\s*[(:,]", VUE, ("install",)),
     _p("vue-directives", 1.0, r"""\.directive\s*\(\s*['"]([^'"\n]+)['"]""", VUE, (".directive",)),
     _p("nuxt-modules", 1.0, r"\b(defineNuxtModule)\s*(?:<[^()]*>)?\s*\(", ("nuxt3",), ("definenuxtmodule",)),
@@ -118,16 +117,16 @@ RULES = numbered("PAT", [
        where=(has(path=["/middleware/"]),)),
     # fastify
     _p("fastify-routes", 1.0,
-       rf"""\.(?i:({any_of(ROUTE_METHODS)}))\s*\(\s*['"`][^'"`\n]*['"`]\s*(?:,\s*{OBJECT})?""", ("fastify",)),
-    _p("fastify-routes", 1.0, rf"\.(route)\s*\(\s*{OBJECT}", ("fastify",), (".route",)),
+       rf"""\.(?i:({any_of(ROUTE_METHODS)}))\s*\(\s*['"`][^'"`\n]*['"`]\s*""", ("fastify",), block=OPTIONS),
+    _p("fastify-routes", 1.0, r"\.(route)\s*\(\s*", ("fastify",), (".route",), block=Block(required=True)),
     _p("fastify-plugins", 1.0, r"\.register\s*\(\s*((?:async\s+)?(?:function\b|\(|[\w$]+))", ("fastify",), (".register",)),
     _p("fastify-plugins", 1.0, BARE_CALL + r"(fp|fastifyPlugin)\s*\(", ("fastify",)),
     _p("fastify-hooks", 1.0, rf"""\.addHook\s*\(\s*['"]({any_of(LIFECYCLE_HOOKS)})['"]""", ("fastify",), (".addhook",)),
     _p("fastify-hooks", 0.9, rf"(?:[{{,]\s*)({any_of(LIFECYCLE_HOOKS)})\s*:", ("fastify",)),
     _p("postgres-queries", 1.0,
        r"""\.(query)\s*\(\s*(?:`[^`]*`|"[^"\n]*"|'[^'\n]*'|[\w.$]+)\s*[,)]?""", ("fastify",), (".query",)),
-    _p("kafka-producers", 1.0, rf"\b((?i:\w*producer\w*))\.send\s*\(\s*(?:{OBJECT})?", ("fastify",), (".send",)),
-    _p("kafka-consumers", 1.0, rf"\b((?i:\w*consumer\w*))\.subscribe\s*\(\s*(?:{OBJECT})?", ("fastify",), (".subscribe",)),
+    _p("kafka-producers", 1.0, r"\b((?i:\w*producer\w*))\.send\s*\(\s*", ("fastify",), (".send",), block=Block(levels=2)),
+    _p("kafka-consumers", 1.0, r"\b((?i:\w*consumer\w*))\.subscribe\s*\(\s*", ("fastify",), (".subscribe",), block=Block(levels=2)),
     _p("stream-tasks", 1.0, r"\b(?:new\s+)?(Task)\s*\([^()]*\)(?:\s*\.\w+\s*\([^;]*)?", ("fastify",), ("task",)),
     # every framework
     _p("data-fetching", 0.9, _calls_with(FETCH_NAMES)),

@@ -108,7 +108,5 @@ def test_objects_of_any_size_do_not_end_the_jvm(spark):
     texts = [f"app.get('/api/user', {big})", f"fastify.route({big})", "export const useA = defineStore('a', {state: () => (" + big + ")})", f"producer.send({big})"]
     rows = spark.createDataFrame([("p", f"src/{i}.ts", "import fastify from 'fastify'\n" + t, f) for i, t in enumerate(texts) for f in ("fastify", "vue3")],
                                  "project string, path string, content string, framework string")
-    from corpuslode.rules import access, patterns as pattern_rules
-
-    for rule in (access.OPTIONS_OBJECT, pattern_rules.OBJECT, pattern_rules.STORE_OBJECT):
-        assert rows.where(rows.content.rlike(rule)).count() == rows.count()
+    rules = [r for r in security_rules() + PATTERNS if r.block is not None]
+    assert scan(rows, rules).select("path").distinct().count() == len(texts)
