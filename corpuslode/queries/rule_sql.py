@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from ..rules import Clause, Rule
@@ -9,8 +10,11 @@ from . import corpus
 
 
 def quoted(value: str) -> str:
-    """A literal; possessive quantifiers, which that engine lacks and does not need, become plain ones."""
-    return corpus.quoted(value.replace("]*+", "]*").replace(")*+", ")*"))
+    """A literal; what keeps the JVM from trying a match again, which that engine lacks and does not need, is left out."""
+    value = re.sub(r"\(\?=\[\\w\$\]\*\?(\(\?:[^()]*\))\)\(\[\\w\$\]\+\+\)", r"([\\w$]*\1[\\w$]*)", value)
+    for held, plain in (("]*+", "]*"), (")*+", ")*"), ("]++", "]+"), ("(?>", "(?:")):
+        value = value.replace(held, plain)
+    return corpus.quoted(value)
 
 
 def _list(words: Sequence[str]) -> str:

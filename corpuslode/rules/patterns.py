@@ -61,7 +61,8 @@ def _calls(names) -> str:
 
 
 def _calls_with(parts) -> str:
-    return BARE_CALL + rf"([\w$]*(?:{any_of(parts)})[\w$]*)\s*(?:<[^()]*>)?\s*\("
+    # The whole name is taken at once, so a long one is read once.
+    return BARE_CALL + rf"(?=[\w$]*?(?:{any_of(parts)}))([\w$]++)\s*(?:<[^()]*>)?\s*\("
 
 
 def _member(owner: str, names=None) -> str:

@@ -1,8 +1,12 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslode.operators import findings as fd
-from corpuslode.operators.scan import findings, scan
+from corpuslode.operators.scan import findings, leading_span, literal_frequencies, rule_index, scan
 from corpuslode.rules import FAMILIES, PATTERNS, PRACTICES, Rule, security_rules
 
 # (title, framework, path, text with a hit, text without)
@@ -110,3 +114,57 @@ def test_objects_of_any_size_do_not_end_the_jvm(spark):
                                  "project string, path string, content string, framework string")
     rules = [r for r in security_rules() + PATTERNS if r.block is not None]
     assert scan(rows, rules).select("path").distinct().count() == len(texts)
+
+
+def test_leading_spans():
+    assert leading_span(r"(?i)log\s*\([^)]*token") == (r"(?i)log\s*\(", "[^)]", "[^)]*token")
+    assert leading_span(r"go\(\s*([^)]+)\)") == (r"go\(\s*", "[^)]", r"([^)]+)\)")
+    assert leading_span(r"(?i:<form[^>]*x[^>]*>)y") == (r"(?i:<form)", "[^>]", "(?i:[^>]*x[^>]*>)y")
+    assert leading_span(r"\.post\('.*login") == (r"\.post\('", ".", ".*login")
+    for other in (r"a\([^)]*x|b", r"(?:^|[^.])a\([^)]*x", r"a(?:<[^>]*>)?x", r"abc[^}]*?x", r"abc[^}]*+x", r"ab[a-z]*x", r"(?<!x)ab[^)]*y", r"`[^`]*x", "abc", r"\((a|\([^()]*\))"):
+        assert leading_span(other) is None, other
+
+
+def brute_hits(text, rule):
+    return [(text.count("\n", 0, m.start()) + 1, m.group(rule.group)) for m in re.finditer(rule.pattern, text)]
+
+
+def test_skipping_heads_find_what_the_pattern_finds(files):
+    pick = random.Random(9)
+    rules = [Rule(f"S-{n}", "x", "x", pattern=pattern, group=group) for n, (pattern, group) in enumerate([
+        (r"log\([^)]*tok", 0), (r"(?i)log\s*\(([^)]+)\)", 1), (r"log\{[^}]*pub\{[^}]+\}", 0), (r"lo.*tok", 0), (r"log[^:]+:[^@]+@[^/]+", 0)])]
+    assert all(leading_span(r.pattern) for r in rules)
+    words = ["log(", "log{", "log", "tok", "pub{", ")", "}", "\n", "x", ":", "@", "/", " ", "LOG ("]
+    texts = ["".join(pick.choices(words, k=pick.randrange(40))) for _ in range(400)]
+    got = {}
+    for r in scan(files(*[("p", str(n), t) for n, t in enumerate(texts)]), rules).collect():
+        got.setdefault((r.rule_id, int(r.path)), []).append((r.line, r.value))
+    want = {(r.rule_id, n): hits for r in rules for n, t in enumerate(texts) if (hits := brute_hits(t, r))}
+    assert got == want and len(want) > 300
+
+
+def test_rows_do_not_depend_on_the_index(files):
+    rules = security_rules() + PRACTICES
+    rows = files(*[(f"{kind}{i}", path, text, framework) for i, (_, framework, path, good, bad) in enumerate(CASES) for kind, text in (("hit", good), ("miss", bad))])
+    frequencies = literal_frequencies(rows, rules)
+    assert frequencies["apikey"] > 0
+    usual, rare = (sorted(map(tuple, found.collect())) for found in (scan(rows, rules), scan(rows, rules, frequencies)))
+    common = sorted(map(tuple, scan(rows, rules, {w: -n for w, n in frequencies.items()}).collect()))
+    assert usual == rare == common and usual
+    assert sorted(n for places in rule_index(rules, frequencies).values() for n in places) == list(range(len(rules)))
+
+
+@pytest.mark.parametrize("title, fragment", [
+    ("Fetch Request Without CSRF Header", "fetch('x', {"), ("Sensitive Data in Logs: password", "console.log(p"), ("Hardcoded Kafka SASL password", "sasl: { "),
+    ("Hardcoded MySQL Credentials", "createConnection({ "), ("Authentication Endpoints Without Rate Limiting", "app.get('/a', "),
+    ("Sensitive Key in Public Runtime Config: token", "runtimeConfig: {"), ("Open Redirect via router.push", "router.push("), ("data-fetching", "fetch"),
+    ("Server Secret Exposed to Client", "export async function getServerSideProps(){return{props:{")])
+def test_repeated_heads_do_not_stall_a_task(files, title, fragment):
+    rules = [r.but(frameworks=(), where=(), gate=()) for r in security_rules() + PATTERNS if r.title == title]
+    # The first still grows with the square of the commas in a call without an end, no more with the cube.
+    size = 15_000 if "CSRF" in title else 60_000
+    text = files(("p", "a.ts", fragment * (size // len(fragment)), "node"))
+    scan(files(("p", "a.ts", fragment, "node")), rules).collect()
+    started = time.time()
+    scan(text, rules).collect()
+    assert rules and time.time() - started < 10
