@@ -2,7 +2,8 @@
 
 Tasks and files meet on terms: a task's terms are joined with the words of the
 files of its project.  A term may be any part of a word, so the vocabulary (not
-the text) is expanded into the parts that some term could equal.  Files that
+the text) is cut into the parts that a term could equal, which gives an index of
+the words that matter; the text is then read past that index.  Files that
 share no term with a task keep a base score that does not depend on the task;
 only as many of them as a budget could hold are brought in.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths, tasks as tk, text
 from ..functions.text import TRUNCATION_MARKER
@@ -30,8 +31,8 @@ SHARES = {
     "depth": {"files": 0.7, "dependencies": 0.15, "architecture": 0.05, "tests": 0.05, "types": 0.05},
 }
 
-# Characters that index the vocabulary; every term is at least this long.
-GRAM = 3
+# Words with a term that are broadcast at most, and the parts of a word when there are more.
+INDEX_WORDS, HOT_PARTS = 200_000, 32
 
 
 def analyse_tasks(tasks: DataFrame) -> DataFrame:
@@ -79,34 +80,71 @@ def file_base(files: DataFrame, focus: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def words_in(column: str) -> Column:
+    """Words of a text in lower case; none for null."""
+    return F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(r"\w+"), F.lit(0))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Broadcast stored rows that are measured to be few."""
+    return F.broadcast(rows) if rows.count() <= INDEX_WORDS else rows
+
+
+def term_index(files: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(word, held)``: the words of the corpus that hold a term, each with its ``(term, inside)`` pairs.
+
+    Every distinct word is cut into its parts of the lengths that terms have, from
+    the places on where the first characters of a term stand, and parts meet terms
+    by equality; the text itself is not joined with anything.
+    """
+    terms = cut(terms)
+    lengths = [r[0] for r in terms.select(F.length("term").alias("n")).distinct().sort("n").collect()] or [1]  # a few numbers
+    first = lengths[0]
+    heads = cut(terms.select(F.substring("term", 1, first).alias("head")).distinct())
+    vocabulary = files.select(F.explode(F.concat(words_in("content"), words_in("path"))).alias("word")).filter(F.length("word") >= first).distinct()
+    places = vocabulary.select("word", F.explode(F.sequence(F.lit(1), F.length("word") - first + 1)).alias("at"))
+    begun = places.withColumn("head", F.substr("word", F.col("at"), F.lit(first))).join(_few(heads), "head", "left_semi")
+    parts = begun.select("word", "at", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).filter(
+        F.col("at") + F.col("n") - 1 <= F.length("word")).select("word", F.substr("word", F.col("at"), F.col("n")).alias("term"))
+    inside = ((F.length("word") - F.length(F.replace("word", F.col("term"), F.lit("")))) / F.length("term")).cast("bigint")
+    return parts.join(_few(terms), "term").groupBy("word").agg(F.collect_set(F.struct("term", inside.alias("inside"))).alias("held"))
+
+
+def term_postings(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(project, path, term, in_path, n)``: the files of every ``(project, term)`` asked for, and how often their text holds the term.
+
+    Only words that hold a term leave the stage that reads the text: the index is
+    broadcast while its measured size allows that.  A larger one is dealt out by
+    word, frequent words over many tasks by a hash of the file.
+    """
+    asked = cut(asked)
+    index = cut(term_index(files, asked.select("term").distinct()))
+    spoken = files.select("project", "path", F.explode(F.concat(
+        F.transform(words_in("content"), lambda w: F.struct(w.alias("word"), F.lit(False).alias("in_path"))),
+        F.transform(words_in("path"), lambda w: F.struct(w.alias("word"), F.lit(True).alias("in_path"))),
+    )).alias("w")).select("project", "path", "w.word", "w.in_path")
+    if index.count() <= INDEX_WORDS:  # a word holds few terms
+        met = spoken.join(F.broadcast(index), "word")
+    else:
+        salted = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))))
+        met = spoken.withColumn("part", F.pmod(F.xxhash64("project", "path"), F.lit(HOT_PARTS)).cast("int")).join(salted, ["word", "part"])
+    met = met.select("project", "path", "in_path", F.explode("held").alias("h")).select("project", "path", "in_path", "h.term", "h.inside")
+    return met.join(_few(asked), ["project", "term"], "left_semi").groupBy("project", "path", "term").agg(
+        F.max("in_path").alias("in_path"), F.sum(F.when(F.col("in_path"), 0).otherwise(F.col("inside"))).alias("n"))
+
+
 def term_matches(files: DataFrame, terms: DataFrame) -> DataFrame:
-    """Where each term occurs: ``(project, path, term, in_path, n)`` for every match."""
-    wanted = terms.select("term").distinct()
-    plain = wanted.filter(F.col("term").rlike(r"^\w+$"))
-    word_list = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\w+"), F.lit(0))
-    spoken = files.select("project", "path", F.explode_outer(F.concat(
-        F.transform(word_list("content"), lambda w: F.struct(w.alias("word"), F.lit(False).alias("in_path"))),
-        F.transform(word_list("path"), lambda w: F.struct(w.alias("word"), F.lit(True).alias("in_path"))),
-    )).alias("w")).filter("w IS NOT NULL").select("project", "path", "w.word", "w.in_path")
-    counted = spoken.groupBy("project", "path", "word", "in_path").agg(F.count(F.lit(1)).alias("times"))
-
-    # A word can hold a term only if it holds the term's first characters.
-    vocabulary = spoken.select("word").distinct().filter(F.length("word") >= GRAM)
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - GRAM + 1), lambda i: F.substr("word", i, F.lit(GRAM))))
-    held = vocabulary.select("word", F.explode(starts).alias("gram")).join(
-        plain.select("term", F.substring("term", 1, GRAM).alias("gram")), "gram")
-    inside = (F.length("word") - F.length(F.replace("word", F.col("term"), F.lit("")))) / F.length("term")
-    known = held.filter(F.col("word").contains(F.col("term"))).select("word", "term", inside.cast("bigint").alias("inside"))
-    found = counted.join(known, "word").groupBy("project", "path", "term").agg(
-        F.max("in_path").alias("in_path"), F.sum(F.when(~F.col("in_path"), F.col("times") * F.col("inside")).otherwise(0)).alias("n"))
+    """Where each term occurs in the files of the projects that ask for it: ``(project, path, term, in_path, n)``."""
+    wanted = terms.select("project", "term").distinct()
+    found = term_postings(files, wanted.filter(F.col("term").rlike(r"^\w+$")))
 
     # The fixed vocabulary has a few terms that are not plain words; they are counted in place.
     odd = [w for w in [*tk.DOMAIN_CONCEPTS, *tk.FRAMEWORK_CONCEPTS] if not w.replace("_", "").isalnum()]
-    low = F.lower("content")
+    low = F.lower(F.coalesce("content", F.lit("")))
     direct = files.select("project", "path", F.explode(F.array(*[F.struct(
         F.lit(w).alias("term"), F.lower("path").contains(w).alias("in_path"),
         ((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)).cast("bigint").alias("n")) for w in odd])).alias("t"))
-    direct = direct.select("project", "path", "t.*").filter("in_path OR n > 0").join(wanted, "term", "left_semi")
+    direct = direct.select("project", "path", "t.*").filter("in_path OR n > 0").join(wanted, ["project", "term"], "left_semi")
     return found.unionByName(direct)
 
 

@@ -1,6 +1,9 @@
 import math
+import random
 import re
 
+import pytest
+
 from corpuslode.functions import tasks as tk
 from corpuslode.functions.text import TRUNCATION_MARKER
 from corpuslode.operators import context as cx, facts
@@ -86,3 +89,24 @@ def test_dependencies_are_bounded_by_their_budget_alone(spark):
 
     assert packed() == [f"src/{n}.ts" for n in names]
     assert packed(dependency_limit=10) == [f"src/{n}.ts" for n in names[:10]]
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_term_matches_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(cx, "INDEX_WORDS", most)
+    pick = random.Random(most)
+    words = ["login", "loginlogin", "relogin", "aaa", "aaaaaaa", "xaaay", "token_store", "face-id", "Naïve", "user", "us", "ab" * 30]
+    files = [(f"p{i % 3}", f"src/{pick.choice(words)}/{i}.ts", " ".join(pick.choices(words, k=pick.randrange(30)))) for i in range(60)] + [("p0", "src/none.ts", None), ("p0", "", "")]
+    terms = [(f"p{i % 3}", i, "keyword", t) for i, t in enumerate(["login", "aaa", "oken_st", "user", "absent", "na", "face-id", "abab", "login", "e"] * 2)]
+    got = cx.term_matches(spark.createDataFrame(files, "project string, path string, content string").repartition(4),
+                          spark.createDataFrame(terms, "project string, task_id int, group string, term string"))
+    want = set()
+    for project, path, text in files:
+        for term in {t for p, _, _, t in terms if p == project}:
+            # Plain terms are looked for in words, face-id as it stands.
+            found = [w.count(term) for w in re.findall(r"\w+", (text or "").lower(), re.A)] if re.fullmatch(r"\w+", term) else [(text or "").lower().count(term)]
+            if sum(found) or term in path.lower():
+                want.add((project, path, term, term in path.lower(), sum(found)))
+    assert {tuple(r) for r in got.select("project", "path", "term", "in_path", "n").collect()} == want and len(want) > 100
+    none = spark.createDataFrame([], "project string, task_id int, group string, term string")
+    assert cx.term_matches(spark.createDataFrame(files, "project string, path string, content string"), none).count() == 0
