@@ -305,6 +305,43 @@ def cycles(edges: DataFrame) -> DataFrame:
     )
 
 
+def simple_cycles(edges: DataFrame, longest: int) -> DataFrame:
+    """Every simple cycle of up to ``longest`` files, once: ``(project, component, members, cycle, length)``.
+
+    A cycle is written from its least file on and ends with it again.  Paths start
+    at every file of a strong component and grow by larger files of the same
+    component, so a cycle is found from its least file alone; a path that no
+    further file can close is dropped.  ``members`` is the size of the component.
+    The number of cycles grows exponentially with ``longest``, which has no default.
+    """
+    links = edges.select("project", "src", "dst").distinct()
+    parts = cut(strong_components(links))
+    sizes = parts.groupBy("project", "component").agg(F.count(F.lit(1)).alias("members"))
+    inner = cut(
+        links.filter("src <> dst")
+        .join(parts.select("project", F.col("id").alias("src"), "component"), ["project", "src"])
+        .join(parts.select("project", F.col("id").alias("dst"), F.col("component").alias("other")), ["project", "dst"])
+        .filter("component = other").select("project", "component", F.col("src").alias("id"), F.col("dst").alias("next"))
+    )
+    keys, home = ["project", "component", "id"], F.col("path")[0]
+    paths = inner.filter("id < next").select("project", "component", F.array("id", "next").alias("path"), F.col("next").alias("id"))
+    found = []
+    for length in range(2, longest + 1):
+        paths = cut(paths)
+        met = paths.join(inner, keys)
+        found.append(met.filter(F.col("next") == home).select("project", "component", F.array_append("path", F.col("next")).alias("cycle")))
+        if length == longest or paths.isEmpty():
+            break
+        onward = (F.col("next") > home) & ~F.array_contains("path", F.col("next"))
+        paths = met.filter(onward).select("project", "component", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("id"))
+    loops = links.filter("src = dst").select("project", F.col("src").alias("component"), F.array("src", "dst").alias("cycle"))
+    loops = loops.join(parts.select("project", F.col("id").alias("component"), F.col("component").alias("whole")), ["project", "component"], "left").select(
+        "project", F.coalesce("whole", "component").alias("component"), "cycle")
+    several = _merge([loops, *found]) if longest > 0 else loops.limit(0)
+    return several.join(sizes, ["project", "component"], "left").select(
+        "project", "component", F.coalesce("members", F.lit(1)).cast("bigint").alias("members"), "cycle", (F.size("cycle") - 1).alias("length"))
+
+
 def witness_cycles(links: DataFrame) -> DataFrame:
     """Shortest cycle through the least node of each component of three or more nodes."""
     parts = cut(strong_components(links))

@@ -39,6 +39,9 @@ reach(project, a, b) AS (SELECT project, src, dst FROM links UNION SELECT r.proj
 scc AS MATERIALIZED (SELECT r.project, r.a AS id, least(r.a, min(r.b)) AS component, count(*) AS size
         FROM reach r JOIN reach q ON r.project = q.project AND r.a = q.b AND r.b = q.a GROUP BY r.project, r.a)"""
 
+# The longest cycles that are listed one by one.
+CYCLE_LENGTH = 4
+
 
 def part_graph(spark, sf):
     """Nodes and edges derived from the ``part`` table, partitioned for joins on a node."""
@@ -177,6 +180,22 @@ def graph_cycles(spark, sf):
     return found.select("project", F.element_at("cycle", 1).alias("first"), "length", "severity")
 
 
+@query("G4", f"""WITH RECURSIVE {EDGE_SQL}, {REACH_SQL},
+sizes AS (SELECT project, component, count(*) AS members FROM scc GROUP BY ALL),
+walk(project, path, id) AS (
+  SELECT project, [src, dst], dst FROM links WHERE src < dst
+  UNION ALL SELECT w.project, list_append(path, l.dst), l.dst FROM walk w JOIN links l ON l.project = w.project AND l.src = w.id
+  WHERE l.dst > path[1] AND NOT list_contains(path, l.dst) AND len(path) < {CYCLE_LENGTH}),
+closed AS (SELECT w.project, path[1] AS first, list_append(path, l.dst) AS cycle FROM walk w JOIN links l ON l.project = w.project AND l.src = w.id AND l.dst = path[1]
+  UNION ALL SELECT DISTINCT project, src, [src, dst] FROM edges WHERE src = dst)
+SELECT c.project, coalesce(s.component, first) AS component, coalesce(members, 1) AS members, array_to_string(cycle, ' ') AS cycle, CAST(len(cycle) - 1 AS INT) AS length
+FROM closed c LEFT JOIN scc s ON s.project = c.project AND s.id = c.first LEFT JOIN sizes z ON z.project = c.project AND z.component = s.component""")
+def graph_simple_cycles(spark, sf):
+    """All cycles of a few files, each once, with the size of the component they lie in."""
+    _, edges = part_graph(spark, sf)
+    return gr.simple_cycles(edges, CYCLE_LENGTH).withColumn("cycle", F.array_join(F.transform("cycle", lambda i: i.cast("string")), " "))
+
+
 @query("G8", f"""WITH RECURSIVE {EDGE_SQL}, {DEGREES_SQL},
 links AS (SELECT DISTINCT project, src, dst FROM edges WHERE src <> dst),
 walk(project, root, id, depth) AS (SELECT project, id, id, 0 FROM degrees WHERE in_degree = 0

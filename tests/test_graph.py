@@ -97,3 +97,24 @@ def test_circular_edges(spark):
     assert flags == {pair: pair != "ef" for pair in pairs}
     edges = spark.createDataFrame([("p", *pair, "t") for pair in ["ab", "bc", "ca", "cd"]], "project string, src string, dst string, type string")
     assert gr.cycles(edges).select(F.col("cycle")).collect()[0].cycle == ["a", "b", "c", "a"]
+
+
+def _all_cycles(pairs, longest):
+    out = {(a, a) for a, b in pairs if a == b} if longest else set()
+    paths = [(a, b) for a, b in pairs if a < b]
+    for _ in range(2, longest + 1):
+        out |= {(*p, p[0]) for p in paths if (p[-1], p[0]) in pairs}
+        paths = [(*p, b) for p in paths for a, b in pairs if a == p[-1] and b > p[0] and b not in p]
+    return out
+
+
+@pytest.mark.parametrize("seed, longest", [(1, 6), (2, 5), (3, 3), (4, 1), (5, 2)])
+def test_simple_cycles_equal_brute_force(spark, seed, longest):
+    _, edges, _, links = _graph(spark, seed, n=10, m=26)
+    found = gr.simple_cycles(links, longest).collect()
+    assert sorted(tuple(r.cycle) for r in found) == sorted(_all_cycles({(a, b) for _, a, b, _t in edges}, longest))
+    parts = {r.id: r.component for r in gr.strong_components(links).collect()}
+    for r in found:
+        whole = parts.get(r.cycle[0], r.cycle[0])
+        assert (r.component, r.members, r.length) == (whole, max(1, sum(c == whole for c in parts.values())), len(r.cycle) - 1)
+    assert gr.simple_cycles(links.limit(0), longest).count() == 0
