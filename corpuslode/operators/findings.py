@@ -42,6 +42,11 @@ def dedupe_findings(findings: DataFrame) -> DataFrame:
     return ranked.groupBy(*FINDING_KEY).agg(best).select(*FINDING_KEY, *[F.col(f"_best.{c}").alias(c) for c in rest])
 
 
+def split_hits(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings and practices of one scan with rules of both kinds, each deduplicated."""
+    return dedupe_findings(hits.filter("polarity = 'bad'")), dedupe_practices(hits.filter("polarity = 'good'"))
+
+
 def dedupe_practices(practices: DataFrame) -> DataFrame:
     """One practice per file and title."""
     best = F.min(F.struct("_number", "category", "rule_id")).alias("_best")

@@ -119,6 +119,11 @@ def hotspots(measured: DataFrame) -> DataFrame:
     return measured.withColumn("kind", F.explode(kinds))
 
 
+def flag_hotspots(measured: DataFrame) -> DataFrame:
+    """Every node with ``hotspot``: whether it is of any of the kinds."""
+    return measured.withColumn("hotspot", (F.col("in_degree") >= HUB_IN) | (F.col("out_degree") >= BOTTLENECK_OUT))
+
+
 def important_subgraph(nodes: DataFrame, edges: DataFrame, node_limit: int = NODE_LIMIT,
                        edge_limit: int = EDGE_LIMIT) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of large projects cut to the most central ones; small ones whole."""

@@ -20,8 +20,7 @@ from ..session import cut
 
 def security_job(files: DataFrame, severities: Sequence[str] = (), categories: Sequence[str] = (), extra_rules: Sequence[Rule] = ()) -> dict[str, DataFrame]:
     """Findings, practices, summaries, score and advice; the score ignores the filters."""
-    found = cut(fd.dedupe_findings(findings(files, [*security_rules(), *extra_rules])))
-    good = cut(fd.dedupe_practices(findings(files, PRACTICES)))
+    found, good = map(cut, fd.split_hits(cut(findings(files, [*security_rules(), *extra_rules, *PRACTICES]))))
     shown = fd.keep_listed(fd.keep_listed(found, "severity", severities), "category", categories)
     return {
         "findings": shown, "practices": good, "summary": fd.summaries(shown), "score": fd.security_score(found, good, files),
@@ -36,7 +35,7 @@ def dependency_graph_job(files: DataFrame) -> dict[str, DataFrame]:
     measured = cut(gr.degrees(nodes, edges))
     circular = cut(gr.cycles(edges))
     return {
-        "nodes": measured, "edges": gr.circular_edges(edges, cut(gr.strong_components(edges))), "cycles": circular, "metrics": gr.coupling_metrics(measured),
+        "nodes": gr.flag_hotspots(measured), "edges": gr.circular_edges(edges, cut(gr.strong_components(edges))), "cycles": circular, "metrics": gr.coupling_metrics(measured),
         "hotspots": gr.hotspots(measured), "depth": gr.average_depth(nodes, edges),
     }
 

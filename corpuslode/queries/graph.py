@@ -134,6 +134,12 @@ def graph_hotspots(spark, sf):
     return gr.hotspots(gr.degrees(*part_graph(spark, sf)))
 
 
+@query("J11", f"""WITH {EDGE_SQL}, {DEGREES_SQL} SELECT project, id, in_degree, out_degree, in_degree >= 5 OR out_degree >= 10 AS hotspot FROM degrees""")
+def graph_hotspot_nodes(spark, sf):
+    """All nodes, hotspots flagged."""
+    return gr.flag_hotspots(gr.degrees(*part_graph(spark, sf))).select("project", "id", "in_degree", "out_degree", "hotspot")
+
+
 @query("G10 J10", f"""WITH {EDGE_SQL}, {DEGREES_SQL},
 best AS (SELECT project, id FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY centrality DESC, id) AS r FROM degrees) WHERE r <= 50),
 ind AS (SELECT e.* FROM edges e SEMI JOIN best b ON b.project = e.project AND b.id = e.src),

@@ -157,8 +157,7 @@ SELECT project, files, positives, CAST(score AS INT) AS score,
 FROM s""")
 def security_scores(spark, sf):
     files = code_files(spark, sf)
-    good = fd.dedupe_practices(findings(files, PRACTICES))
-    bad = fd.dedupe_findings(findings(files, RULES))
+    bad, good = fd.split_hits(cut(findings(files, [*RULES, *PRACTICES])))  # one scan
     return fd.security_score(bad, good, files).select("project", "files", "positives", "score", "risk")
 
 

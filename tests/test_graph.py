@@ -118,3 +118,12 @@ def test_simple_cycles_equal_brute_force(spark, seed, longest):
         whole = parts.get(r.cycle[0], r.cycle[0])
         assert (r.component, r.members, r.length) == (whole, max(1, sum(c == whole for c in parts.values())), len(r.cycle) - 1)
     assert gr.simple_cycles(links.limit(0), longest).count() == 0
+
+
+def test_hotspot_flag_is_that_of_the_kinds(spark):
+    edges = [("p", "god", f"o{i}", "import") for i in range(10)] + [("p", f"i{i}", "god", "import") for i in range(5)] + [("p", f"i{i}", "hub", "import") for i in range(5)]
+    ids = {e[1] for e in edges} | {e[2] for e in edges} | {"alone"}
+    measured = gr.degrees(spark.createDataFrame([("p", i) for i in ids], "project string, id string"),
+                          spark.createDataFrame(edges, "project string, src string, dst string, type string"))
+    flagged = {r.id for r in gr.flag_hotspots(measured).collect() if r.hotspot}
+    assert flagged == {r.id for r in gr.hotspots(measured).collect()} == {"god", "hub"} and gr.flag_hotspots(measured).count() == len(ids)
