@@ -38,8 +38,9 @@ STOP_WORDS = [
     "the", "and", "for", "with", "that", "this", "from", "have", "will", "can", "should", "would", "could", "need",
     "want", "make", "use", "work",
 ]
+# Folders that a mentioned path starts with.
 MENTION_ROOTS = ["src/", "components/", "pages/", "app/", "lib/"]
-MENTION = r"(?:src/|components/|pages/|app/|lib/)[\w/-]+\.[\w]+"
+MENTION = rf"(?:{'|'.join(MENTION_ROOTS)})[\w/-]+\.[\w]+"
 
 
 def _words(words: list[str]) -> Column:
