@@ -6,9 +6,12 @@ of all minima are packed into longs, and bit counts over two packed signatures
 estimate the similarity of a candidate pair, corrected for bits that agree by
 chance.  Pairs that may reach the threshold are confirmed on their full sets.
 
-Work per group is linear until documents disagree: equal sets are one class, a
-bucket first links its members to three pivots, and only members that are not
-yet in the component of their bucket's first pivot are compared with the rest.
+Equal sets are one class.  A bucket links its members to one pivot, the member
+that stands in the fullest buckets, which in a group of edited copies is close
+to the text they come from.  Buckets that still hold several components are
+settled without comparing all their members: two sets that reach the threshold
+share one of their rarest shingles (a prefix filter, which loses nothing), so
+texts below it, whose rare shingles are their own, meet no one.
 """
 
 from __future__ import annotations
@@ -115,13 +118,9 @@ def estimate(left: Column, right: Column) -> Column:
     return (agree - chance) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, text: str, doc_id: str) -> DataFrame:
-    """The ``pairs (u, v)`` of classes whose full sets reach the threshold.
-
-    Sets are made again for the classes in question only, from the text of the
-    least document of the class.
-    """
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("members")).distinct().join(reps, "members").select("members", "rep")
+def full_sets(wanted: DataFrame, docs: DataFrame, reps: DataFrame, words: int, text: str, doc_id: str) -> DataFrame:
+    """``(members, hashes)``: the sets of the ``wanted (members)`` classes, made again from the text of the least document of each."""
+    named = wanted.join(reps, "members").select("members", "rep")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,8 +133,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(values, pa.list_(pa.int64()))], names=["members", "hashes"])
 
     texts = (docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("binary").alias("text"))
-             .join(wanted, "rep").select("members", "text").mapInArrow(sets, "members binary, hashes array<bigint>")
-             .dropDuplicates(["members"]))
+             .join(named, "rep").select("members", "text").mapInArrow(sets, "members binary, hashes array<bigint>"))
+    return texts.dropDuplicates(["members"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, text: str, doc_id: str) -> DataFrame:
+    """The ``pairs (u, v)`` of classes whose full sets reach the threshold."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("members")).distinct()
+    texts = full_sets(wanted, docs, reps, words, text, doc_id)
     shared = F.size(F.array_intersect("a", "b"))
     return (pairs.join(texts.select(F.col("members").alias("u"), F.col("hashes").alias("a")), "u")
             .join(texts.select(F.col("members").alias("v"), F.col("hashes").alias("b")), "v")
@@ -144,6 +149,34 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
             .select("u", "v"))
 
 
+def rare_partners(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(u, v)`` of ``sets (members, component, hashes)`` of different components that may reach the threshold.
+
+    Sets of similarity t share at least ``t * n`` shingles, n being the size of
+    either, so both hold a common one among their first ``n - ceil(t * n) + 1``,
+    whatever the order.  The order here is by rising frequency: a prefix of
+    shingles that no other set holds proposes nothing.  After their first common
+    shingle, two sets can share only what is left of either, which must reach the
+    ``t / (1 + t)`` of both sizes that the threshold asks for.
+    """
+    size = F.size("hashes")
+    # Integer arithmetic: n - ceil(percent * n / 100) + 1.
+    prefix = size - ((F.lit(percent) * size + 99) / 100).cast("int") + 1
+    tokens = cut(sets.select("members", "component", size.alias("n"), prefix.alias("prefix"), F.explode("hashes").alias("token")))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # Shingles of one set alone stand first in it; only their number matters.
+    held = tokens.join(common, "token")
+    met = (held.groupBy("members").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
+                                       F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+           .withColumn("open", F.col("prefix") - (F.col("n") - F.size("held"))).where("open > 0")
+           .select("members", "component", "n", F.size("held").alias("known"), F.posexplode(F.slice("held", F.lit(1), F.col("open"))["token"]).alias("at", "token")))
+    met = cut(met.select("members", "component", "n", "token", (F.col("known") - F.col("at")).alias("left")))
+    one = met.select("token", F.col("members").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("left").alias("lu"))
+    two = met.select("token", F.col("members").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("left").alias("lv"))
+    fits = F.lit(100 + percent) * F.least("lu", "lv") >= F.lit(percent) * (F.col("nu") + F.col("nv"))
+    return one.join(two, "token").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & fits).select("u", "v").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(members, component)`` of every node of ``links (u, v)``: its least reachable node.
 
@@ -193,11 +226,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
                .select("members", F.col("first.doc_id").alias("rep"), F.col("first.packed").alias("packed"), F.col("first.bands").alias("bands")))
     packed = reps.select("members", "packed")
     buckets = reps.select("members", F.posexplode("bands").alias("band", "bucket"))
-    spread = F.xxhash64("members", "bucket")
-    pivots = (buckets.groupBy("band", "bucket")
-              .agg(F.count("*").alias("n"), F.min("members").alias("first"), F.max("members").alias("last"), F.min_by("members", spread).alias("any"))
-              .where("n > 1").drop("n"))
-    shared = cut(buckets.join(pivots, ["band", "bucket"]))
+    full = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(buckets.join(full, ["band", "bucket"]))
+    weights = shared.groupBy("members").agg(F.sum("n").alias("weight"))
+    pivots = (shared.join(weights, "members").groupBy("band", "bucket")
+              .agg(F.max(F.struct("weight", "members"))["members"].alias("first")))
+    shared = cut(shared.drop("n").join(pivots, ["band", "bucket"]))
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Distinct pairs, smaller node first, that the signatures do not rule out."""
@@ -206,21 +240,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
                 .join(packed.select(F.col("members").alias("v"), F.col("packed").alias("q")), "v")
                 .where(estimate(F.col("p"), F.col("q")) >= percent / 100 - MARGIN).select("u", "v"))
 
-    first_pairs = cut(likely(shared.select(F.col("members").alias("u"), F.explode(F.array("first", "last", "any")).alias("v"))))
+    first_pairs = cut(likely(shared.select(F.col("members").alias("u"), F.col("first").alias("v"))))
     links = cut(confirmed(first_pairs, docs, reps, words, percent, text, doc_id))
     found = cut(components(links))
 
-    # Members outside the component of their bucket's first pivot meet the members of other components.
-    labelled = (shared.select("band", "bucket", "members", "first").join(found, "members", "left")
+    # Members of buckets with several components meet on rare shingles.
+    labelled = (shared.select("band", "bucket", "members").join(found, "members", "left")
                 .withColumn("component", F.coalesce("component", "members")))
     mixed = labelled.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rows = cut(labelled.join(mixed.drop("high"), ["band", "bucket"]).join(packed, "members"))
-    left = rows.where("component <> low").select("band", "bucket", F.col("members").alias("u"), F.col("component").alias("cu"), F.col("packed").alias("p"))
-    right = rows.select("band", "bucket", F.col("members").alias("v"), F.col("component").alias("cv"), "low", F.col("packed").alias("q"))
-    rest = (left.join(right, ["band", "bucket"])
-            .where((F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("low")) | (F.col("u") < F.col("v"))))
-            .where(estimate(F.col("p"), F.col("q")) >= percent / 100 - MARGIN)
-            .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(first_pairs, ["u", "v"], "left_anti"))
+    open_members = cut(labelled.join(mixed.select("band", "bucket"), ["band", "bucket"]).select("members", "component").distinct())
+    sets = full_sets(open_members.select("members"), docs, reps, words, text, doc_id).join(open_members, "members")
+    rest = likely(rare_partners(sets, percent)).join(first_pairs, ["u", "v"], "left_anti")
     late = cut(confirmed(cut(rest), docs, reps, words, percent, text, doc_id))
     if not late.isEmpty():
         found = cut(components(links.unionByName(late)))

@@ -73,6 +73,65 @@ def test_near_duplicates_match_brute_force(documents, odd, k, percent):
     assert got == brute_components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], k, percent)
 
 
+def _family(pick, base, copies, edits):
+    """Copies of a text with single words replaced at random places."""
+    out = []
+    for _ in range(copies):
+        words = list(base)
+        for at in pick.sample(range(len(words)), edits):
+            words[at] = f"w{pick.randrange(10**9)}"
+        out.append(" ".join(words))
+    return out
+
+
+def _sets(texts, k):
+    return [set(zip(*[t.split()[i:] for i in range(k)])) for t in texts]
+
+
+def _alike(a, b, percent):
+    return 100 * len(a & b) >= percent * len(a | b)
+
+
+@pytest.mark.parametrize("edits", [3, 5, 6, 8])
+def test_candidates_of_a_large_family_grow_with_its_size(spark, edits):
+    """Copies of 100 words whose source is not there: pairs at the threshold (3 edits) and below it (5, 6, 8)."""
+    pick = random.Random(edits)
+    base = [f"b{i}" for i in range(100)]
+    count = {}
+    for n in (200, 400):
+        texts = _family(pick, base, n, edits)
+        hashes = [near_duplicates.shingle_set(t.encode(), 3) for t in texts]
+        rows = [(i.to_bytes(16, "big"), i.to_bytes(16, "big"), h.view("int64").tolist()) for i, h in enumerate(hashes)]
+        made = spark.createDataFrame(rows, "members binary, component binary, hashes array<bigint>")
+        got = {tuple(sorted((int.from_bytes(r.u, "big"), int.from_bytes(r.v, "big")))) for r in near_duplicates.rare_partners(made, 85).collect()}
+        sets = _sets(texts, 3)
+        linked = {(i, j) for i in range(n) for j in range(i + 1, n) if _alike(sets[i], sets[j], 85)}
+        assert linked <= got
+        count[n] = len(got) - len(linked)
+    if edits > 3:
+        assert count[400] <= 400
+    else:  # pairs of copies lie at the threshold itself, so some must be compared
+        assert all(c <= 0.02 * n * (n - 1) / 2 for n, c in count.items())
+
+
+def test_links_around_the_threshold_are_found(spark, documents):
+    """Recall over all links of families around the threshold: both ends stand in one component."""
+    pick, texts = random.Random(5), []
+    for edits in (2, 3, 4, 5, 6, 8):
+        texts += _family(pick, [f"x{edits}_{i}" for i in range(90)], 40, edits)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(documents(texts), 3, 85).collect()}
+    sets = _sets(texts, 3)
+    links = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if _alike(sets[i], sets[j], 85)]
+    assert len(links) > 100
+    assert sum(got[i] == got[j] for i, j in links) == len(links)
+    # Nothing else is put together: components are those of the links.
+    home = list(range(len(texts)))
+    for _ in texts:
+        for i, j in links:
+            home[i] = home[j] = min(home[i], home[j])
+    assert [got[i] for i in range(len(texts))] == home
+
+
 def test_near_duplicates_of_nothing(documents):
     assert near_duplicates.near_duplicates(documents([])).count() == 0
     assert {r["component_id"] for r in near_duplicates.near_duplicates(documents(["", None])).collect()} == {0, 1}
