@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import paths
 from ..session import cut
 from .facts import import_rows
-from .ranking import top_k
+from .ranking import ordered_rank, top_k
 
 # Extensions tried for an import, in order.
 IMPORT_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".vue"]
@@ -206,17 +206,58 @@ def _merge(rounds: list[DataFrame]) -> DataFrame:
     return out
 
 
+def farthest(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(project, root, far)``: distance from each of ``roots (project, root)`` to the farthest node it reaches.
+
+    All searches of a project run together: its roots are numbered, and one long
+    holds which of 64 roots have reached a node, so a wave has at most a row per
+    node and 64 roots, joined by bit operations.  A root's distance is the last
+    wave that carried its bit to a new node.
+    """
+    numbered = cut(ordered_rank(roots.select("project", "root").distinct(), ["project"], ["root"], "number"))
+    placed = numbered.select("project", "root", F.expr("(number - 1) div 64").alias("word"),
+                             F.expr("shiftleft(1L, cast((number - 1) % 64 AS int))").alias("bit"))
+    own = pairs.select("project", F.explode(F.array("id", "next")).alias("id")).distinct()
+    # A node's own hop keeps its bits in the aggregation that brings the new ones.
+    hops = cut(pairs.select("project", "id", "next", F.lit(False).alias("own")).unionByName(
+        own.select("project", "id", F.col("id").alias("next"), F.lit(True).alias("own"))))
+    state = cut(placed.select("project", F.col("root").alias("id"), "word", F.col("bit").alias("seen"), F.col("bit").alias("fresh")))
+    waves = [f"wave{k}" for k in range(HOPS)]
+    taken = lambda test, name: F.coalesce(F.bit_or(F.when(test, F.col(name))), F.lit(0).cast("bigint"))
+    told, depth = [], 0
+    while True:
+        for k in range(HOPS):
+            mine = F.col("own")
+            state = (
+                state.join(hops, ["project", "id"]).filter(mine | (F.col("fresh") != 0))
+                .groupBy("project", F.col("next").alias("id"), "word")
+                .agg(taken(mine, "seen").alias("before"), taken(~mine, "fresh").alias("got"), *[taken(mine, w).alias(w) for w in waves[:k]])
+                .withColumn("fresh", F.col("got").bitwiseAND(F.bitwise_not("before")))
+                .select("project", "id", "word", F.col("before").bitwiseOR(F.col("got")).alias("seen"), "fresh", *waves[:k], F.col("fresh").alias(waves[k]))
+            )
+        state = cut(state)
+        news = state.groupBy("project", "word").agg(*[F.bit_or(w).alias(w) for w in waves])
+        told.append(cut(news.select("project", "word", F.explode(F.array(*[
+            F.struct(F.lit(depth + k + 1).alias("depth"), F.col(w).alias("bits")) for k, w in enumerate(waves)])).alias("n")).select(
+            "project", "word", "n.*").filter("bits <> 0")))
+        depth += HOPS
+        if state.filter("fresh <> 0").isEmpty():
+            break
+        state = state.select("project", "id", "word", "seen", "fresh")
+    last = placed.join(_merge(told), ["project", "word"]).filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    last = last.groupBy("project", "root").agg(F.max("depth").alias("far"))
+    return placed.select("project", "root").join(last, ["project", "root"], "left").na.fill(0, ["far"])
+
+
 def average_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Mean over root nodes of the distance to the farthest node they reach.
 
-    Every (root, reachable node) pair is visited once, which is what the metric
-    needs; a project without roots gives 1.
+    A project without roots gives 1.
     """
     measured = degrees(nodes, edges)
     roots = measured.filter("in_degree = 0").select("project", F.col("id").alias("root"))
     pairs = edges.filter("src <> dst").select("project", F.col("src").alias("id"), F.col("dst").alias("next")).distinct()
-    start = roots.withColumn("id", F.col("root"))
-    far = _spread(start, ["project", "root"], pairs, None).groupBy("project", "root").agg(F.max("depth").alias("far"))
+    far = farthest(roots, pairs)
     means = far.groupBy("project").agg(F.avg("far").alias("avg_depth"), F.count(F.lit(1)).alias("roots"))
     return nodes.select("project").distinct().join(means, "project", "left").na.fill(1.0, ["avg_depth"]).na.fill(0, ["roots"])
 

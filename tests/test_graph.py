@@ -51,6 +51,22 @@ def test_components_cycles_and_depth_match_brute_force(spark, seed):
     assert gr.average_depth(nodes, links).collect()[0].avg_depth == pytest.approx(depth)
 
 
+def test_farthest_of_many_roots(spark):
+    """More roots than one word holds, a chain longer than one plan, cycles, a root without edges, two projects."""
+    pick = random.Random(4)
+    edges = [("p", f"n{i}", f"n{i + 1}") for i in range(15)] + [("p", "n15", "n3")]
+    edges += [("p", f"r{i:03d}", f"n{pick.randrange(16)}") for i in range(150)] + [("q", "a", "b"), ("q", "b", "a"), ("q", "z", "a")]
+    pairs = spark.createDataFrame(edges, "project string, id string, next string")
+    asked = [("p", f"r{i:03d}") for i in range(150)] + [("p", "alone"), ("q", "z"), ("q", "a")]
+    got = {(r.project, r.root): r.far for r in gr.farthest(spark.createDataFrame(asked * 2, "project string, root string"), pairs).collect()}
+    for project, root in asked:
+        inside = [(p, a, b, "") for p, a, b in edges if p == project]
+        assert got[project, root] == max(_distances(inside, root).values()), (project, root)
+    assert len(got) == len(asked)
+    none = gr.farthest(spark.createDataFrame([], "project string, root string"), pairs)
+    assert none.count() == 0
+
+
 def test_degrees_coupling_hotspots(spark):
     edges = [("p", "god", f"o{i}", "import") for i in range(10)] + [("p", f"i{i}", "god", "import") for i in range(5)] + [("p", "i0", "god", "import")]
     ids = {e[1] for e in edges} | {e[2] for e in edges} | {"alone"}
