@@ -143,3 +143,16 @@ def test_hotspot_flag_is_that_of_the_kinds(spark):
                           spark.createDataFrame(edges, "project string, src string, dst string, type string"))
     flagged = {r.id for r in gr.flag_hotspots(measured).collect() if r.hotspot}
     assert flagged == {r.id for r in gr.hotspots(measured).collect()} == {"god", "hub"} and gr.flag_hotspots(measured).count() == len(ids)
+
+
+def test_rounds_for_components_do_not_grow_with_the_length_of_a_cycle(spark, monkeypatch):
+    n, rounds = 400, []
+    ring = [("p", i, (i + 1) % n) for i in range(n)] + [("p", 5, n), ("p", n, n + 1), ("p", n + 2, 7)]
+    detour = [("p", 10, 900), ("p", 900, 901), ("p", 901, 12)]
+    for name in ("cut", "stored"):
+        plain = getattr(gr, name, gr.cut)
+        monkeypatch.setattr(gr, name, lambda df, plain=plain: rounds.append(1) or plain(df), raising=False)
+    links = spark.createDataFrame(ring + detour, "project string, src long, dst long")
+    got = {r.id: r.component for r in gr.strong_components(links).collect()}
+    assert got == dict.fromkeys([*range(n), 900, 901], 0)
+    assert len(rounds) < 90  # a hop a node took over a hundred
