@@ -168,3 +168,14 @@ def test_repeated_heads_do_not_stall_a_task(files, title, fragment):
     started = time.time()
     scan(text, rules).collect()
     assert rules and time.time() - started < 10
+
+
+def test_marks_of_a_text_are_replaced_once_for_all_rules(spark):
+    rules = [Rule(f"T-{i}", "t", "t", pattern=rf"word{i}", gate=("word",)) for i in range(6)]
+    files = spark.createDataFrame([("p", "a.ts", "x\n word1 \nword1 word2", "node"), ("p", "b.ts", None, "node")],
+                                  "project string, path string, content string, framework string")
+    hits = scan(files, rules)
+    got = {(r.path, r.rule_id, r.line, r.matched) for r in hits.collect()}
+    assert got == {("a.ts", "T-1", 2, "word1"), ("a.ts", "T-1", 3, "word1"), ("a.ts", "T-2", 3, "word2")}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") <= 2  # one for each rule before
