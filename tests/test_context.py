@@ -110,3 +110,19 @@ def test_term_matches_equal_brute_force(spark, monkeypatch, most):
     assert {tuple(r) for r in got.select("project", "path", "term", "in_path", "n").collect()} == want and len(want) > 100
     none = spark.createDataFrame([], "project string, task_id int, group string, term string")
     assert cx.term_matches(spark.createDataFrame(files, "project string, path string, content string"), none).count() == 0
+
+
+def test_few_terms_are_counted_where_the_text_lies(spark, monkeypatch):
+    """No index of the vocabulary is made; repeated files, nulls, long words and words beyond the memory of a task count as before."""
+    def refuse(*_):
+        raise AssertionError("the vocabulary was indexed")
+
+    monkeypatch.setattr(cx, "term_index", refuse)
+    monkeypatch.setattr(cx, "WORDS_KEPT", 2)
+    rows = [("p", "src/user.ts", "User users xuserx map maps"), ("p", "src/user.ts", "user"), ("p", None, "user"), (None, "a", "user"), ("q", "user", "user"),
+            ("p", "src/MAP/b.ts", None), ("p", "c", "ab" * 500 + " Naïve"), ("p", "d", "")]
+    files = spark.createDataFrame(rows, "project string, path string, content string")
+    asked = spark.createDataFrame([("p", "user"), ("p", "map"), ("p", "abab"), ("p", "ve"), ("p", "user"), (None, "user")], "project string, term string")
+    got = {tuple(r) for r in cx.term_postings(files, asked).collect()}
+    assert got == {("p", "src/user.ts", "user", True, 4), ("p", "src/user.ts", "map", False, 2), ("p", None, "user", False, 1),
+                   ("p", "src/MAP/b.ts", "map", True, 0), ("p", "c", "abab", False, 250), ("p", "c", "ve", False, 1)}
