@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import versions as vs
 from ..operators import advisories as ad, architecture as ar, coverage as cv
+from ..session import stored
 from ..sources import manifests as mf
 from .corpus import quoted, table
 from .registry import query
@@ -57,10 +58,10 @@ def _items(spark, sf):
         F.min("l_linenumber").alias("n"), F.min("v").alias("v"), F.min("l_suppkey").alias("s"))
 
 
-def manifests(spark, sf):
+def manifests(items):
     """Manifest JSON of every order; sections by line number."""
     form = F.element_at(F.array(*[F.lit(s) for s in SPECS]), (F.col("s") % len(SPECS) + 1).cast("int"))
-    rows = _items(spark, sf).withColumn("spec", F.replace(form, F.lit("{v}"), F.col("v")))
+    rows = items.withColumn("spec", F.replace(form, F.lit("{v}"), F.col("v")))
     def section(test):
         return F.map_from_entries(F.collect_list(F.when(test, F.struct("name", "spec"))))
     n = F.col("n")
@@ -72,9 +73,9 @@ def manifests(spark, sf):
     return packed.select("project", F.to_json(F.struct(*[c for c in packed.columns if c != "project"])).alias("json"))
 
 
-def lockfiles(spark, sf):
+def lockfiles(items):
     """Lockfile JSON of every order; it locks the packages whose supplier number divides by three."""
-    rows = _items(spark, sf).filter("s % 3 = 0")
+    rows = items.filter("s % 3 = 0")
     entry = F.struct(F.concat(F.lit("node_modules/"), F.col("name")).alias("k"), F.struct(F.col("v").alias("version")).alias("x"))
     packed = rows.groupBy("project").agg(F.map_from_entries(F.collect_list(entry)).alias("packages"))
     return packed.select("project", F.to_json(F.struct(F.lit(3).alias("lockfileVersion"), "packages")).alias("json"))
@@ -92,16 +93,17 @@ def advisories(spark):
 
 
 def _deps(spark, sf):
-    return ad.with_locked_versions(mf.read_manifests(manifests(spark, sf)), mf.read_lockfiles(lockfiles(spark, sf)))
+    items = stored(_items(spark, sf))  # read by manifests and lockfiles
+    return ad.with_locked_versions(mf.read_manifests(manifests(items)), mf.read_lockfiles(lockfiles(items)))
 
 
-def _vulnerable(spark, sf):
-    return ad.vulnerable_dependencies(_deps(spark, sf), ad.advisory_ranges(advisories(spark)))
+def _vulnerable(spark, sf, deps=None):
+    return ad.vulnerable_dependencies(_deps(spark, sf) if deps is None else deps, ad.advisory_ranges(advisories(spark)))
 
 
 @query("S6 P11 P12", f"""WITH {DEPS_SQL} SELECT project, name, spec, parsed AS version, is_dev, is_optional, is_peer, parsed <> '0.0.0' AS valid FROM deps""")
 def manifest_dependencies(spark, sf):
-    rows = mf.read_manifests(manifests(spark, sf), include_optional=True)
+    rows = mf.read_manifests(manifests(_items(spark, sf)), include_optional=True)
     return rows.withColumn("valid", vs.is_valid_version(F.col("version"))).select(
         "project", "name", "spec", "version", "is_dev", "is_optional", "is_peer", "valid")
 
@@ -126,7 +128,8 @@ def dependency_findings(spark, sf):
 @query("A27", f"""WITH {DEPS_SQL}, {RANGES_SQL} SELECT project, count(*) AS total, count(*) FILTER (NOT is_dev) AS production, count(*) FILTER (is_dev) AS development,
  coalesce(max(v.n), 0) AS vulnerable FROM deps LEFT JOIN (SELECT project, count(DISTINCT name) AS n FROM vuln GROUP BY project) v USING (project) WHERE NOT is_optional GROUP BY project""")
 def dependency_counts(spark, sf):
-    return ad.dependency_counts(_deps(spark, sf), _vulnerable(spark, sf))
+    deps = stored(_deps(spark, sf))  # read for the totals and twice for the hits
+    return ad.dependency_counts(deps, _vulnerable(spark, sf, deps))
 
 
 @query("A28", f"""WITH {DEPS_SQL}, {RANGES_SQL} SELECT severity, count(*) AS vulnerabilities, count(DISTINCT name) AS packages,
@@ -150,7 +153,7 @@ def dependency_hygiene(spark, sf):
     path = F.element_at(F.array(*[F.lit(p) for p in HYGIENE_PATHS]), (F.col("l_suppkey") % 6 + 1).cast("int"))
     text = F.when(F.col("l_linenumber") % 3 == 0, "audit=false").when(F.col("l_linenumber") % 3 == 1, "ignore-scripts=true").otherwise("")
     files = item.select(F.col("l_orderkey").alias("project"), path.alias("path"), text.alias("content"))
-    return ad.hygiene_practices(manifests(spark, sf), files)
+    return ad.hygiene_practices(manifests(_items(spark, sf)), files)
 
 
 EVIDENCE = ["nuxt.config.ts", "vite.config.ts", "app.json", "metro.config.js", "src/routes/a.ts", "index.html", "src/App.vue", "pages/a.vue",
@@ -179,7 +182,7 @@ SELECT project, CASE WHEN m THEN CASE WHEN starts_with(nv, '3.') THEN 'nuxt3' WH
 def project_frameworks(spark, sf):
     """Framework of every project: from the manifest, or from files where it is missing."""
     orders = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("project"))
-    known = manifests(spark, sf).join(orders, "project", "left_semi")
+    known = manifests(_items(spark, sf)).join(orders, "project", "left_semi")
     return ar.detect_framework(known, _paths(spark, sf)).select("project", "framework", "confidence")
 
 
@@ -191,4 +194,4 @@ def test_frameworks(spark, sf):
     """Test framework from the manifest, else from the text of the project's test file."""
     text = F.when(F.col("o_orderstatus") == "F", "import { it } from 'vitest'").when(F.col("o_orderstatus") == "O", "jest.mock('x')").otherwise("assert(1)")
     files = table(spark, sf, "orders").select(F.col("o_orderkey").alias("project"), F.lit("src/a.test.ts").alias("path"), text.alias("content"))
-    return cv.test_framework(mf.read_manifests(manifests(spark, sf)), files)
+    return cv.test_framework(mf.read_manifests(manifests(_items(spark, sf))), files)

@@ -96,3 +96,21 @@ def test_advisories_by_ecosystem_range_type_and_listed_version(spark, tmp_path):
     deps = spark.createDataFrame([("p", "redis", v) for v in ("1.5.0", "3.0.0", "4.0.0", "6.0.0")], "project string, name string, version string")
     hits = {(r["version"], r["id"]) for r in ad.vulnerable_dependencies(deps, ranges).collect()}
     assert hits == {("4.0.0", "LISTED"), ("1.5.0", "ORDER"), ("6.0.0", "ORDER")}
+
+
+def test_dependency_counts_build_their_items_once(spark, tmp_path, monkeypatch):
+    from corpuslode.queries import advisories as qa
+
+    spark.createDataFrame([(i, i % 7) for i in range(60)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    rows = [(order, (order * 13 + line * 7) % 60, line * 3 + order, line) for order in range(20) for line in range(1, 8)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    built, items = [], qa._items
+    monkeypatch.setattr(qa, "_items", lambda *a: built.append(1) or items(*a))
+    counts = qa.dependency_counts(spark, str(tmp_path))
+    assert len(built) == 1 and "lineitem" not in counts._jdf.queryExecution().toString()
+    named = {}
+    for order, part, _, line in rows:
+        name = (order, part % 50)
+        named[name] = min(line, named.get(name, line))
+    total = {order: [n for (o, _), n in named.items() if o == order and n <= 6] for order in range(20)}
+    assert {(r.project, r.total, r.development) for r in counts.collect()} == {(o, len(n), sum(3 < x <= 5 for x in n)) for o, n in total.items()}
