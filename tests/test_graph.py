@@ -156,3 +156,18 @@ def test_rounds_for_components_do_not_grow_with_the_length_of_a_cycle(spark, mon
     got = {r.id: r.component for r in gr.strong_components(links).collect()}
     assert got == dict.fromkeys([*range(n), 900, 901], 0)
     assert len(rounds) < 90  # a hop a node took over a hundred
+
+
+def test_rounds_for_witness_cycles_do_not_grow_with_their_length(spark, monkeypatch):
+    n, rounds = 300, []
+    ring = [("p", i, (i + 1) % n) for i in range(n)]
+    # Two detours of equal length, a shorter one, a ring that is left and entered again, and a ring without any branch.
+    more = [("p", 10, 901), ("p", 901, 12), ("p", 40, 903), ("p", 903, 904), ("p", 904, 60), ("p", 70, 905), ("p", 905, 70)]
+    lone = [("q", i, (i + 1) % 50) for i in range(50)]
+    for name in ("cut", "stored"):
+        plain = getattr(gr, name)
+        monkeypatch.setattr(gr, name, lambda df, plain=plain: rounds.append(1) or plain(df))
+    monkeypatch.setattr(gr, "strong_components", lambda links: links.select("project", F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("component", F.lit(0)))
+    found = {r.project: r.cycle for r in gr.witness_cycles(spark.createDataFrame(ring + more + lone, "project string, src long, dst long")).collect()}
+    assert found == {"p": [*range(41), 903, 904, *range(60, n), 0], "q": [*range(50), 0]}
+    assert len(rounds) < 40  # a hop a node took over a hundred
