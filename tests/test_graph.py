@@ -1,9 +1,11 @@
 import random
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslode.functions import distances
 from corpuslode.operators import graph as gr
 
 
@@ -67,6 +69,39 @@ def test_farthest_of_many_roots(spark):
     assert none.count() == 0
 
 
+@pytest.mark.parametrize("n, ring, settings, rounds", [(60, 50, {}, 8), (60, 50, {"TASK_WORK": 1}, 8), (14, 10, {"TASK_LINKS": 15}, None)])
+def test_farthest_in_tasks_and_in_waves(spark, monkeypatch, n, ring, settings, rounds):
+    """Long chains and rings, one and several parts a project, a project too large for a task; nulls reach nothing."""
+    edges = [("p", i, i + 1) for i in range(n)] + [("p", n, n // 2), ("p", -1, 0), ("p", -2, 0), ("p", -2, n - 3), ("p", -3, n // 2), ("p", -3, None), ("p", None, -4)]
+    edges += [("q", i, (i + 1) % ring) for i in range(ring)] + [("q", -1, 3), ("q", -2, 7), ("q", 7, 60), (None, -1, 3)]
+    pairs = spark.createDataFrame(edges * 2, "project string, id long, next long")
+    want = {("p", -1): n + 1, ("p", -2): n // 2 + 1, ("p", -3): n - n // 2 + 1, ("p", None): 0, ("p", 500): 0, ("q", -1): ring, ("q", -2): ring, ("r", 1): 0, (None, -1): 0}
+    written = []
+    for name in ("cut", "stored"):
+        plain = getattr(gr, name)
+        monkeypatch.setattr(gr, name, lambda df, plain=plain: written.append(1) or plain(df))
+    for name, value in settings.items():
+        monkeypatch.setattr(gr, name, value)
+    found = gr.farthest(spark.createDataFrame(list(want), "project string, root long"), pairs).collect()
+    assert sorted(((str(r.project), str(r.root)), r.far) for r in found) == sorted(((str(p), str(i)), far) for (p, i), far in want.items())
+    assert rounds is None or len(written) < rounds  # waves wrote twice every four hops
+
+
+@pytest.mark.parametrize("cells", [1, 40, 1 << 20])
+def test_farthest_nodes_equal_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(distances, "CELLS", cells)
+    pick = random.Random(cells)
+    for n in (1, 2, 5, 9, 14, 30):
+        for m in (0, n // 2, n, n + 3, 2 * n):
+            pairs = {(pick.randrange(n), pick.randrange(n)) for _ in range(m)}
+            pairs |= {(i, i + 1) for i in range(n - 1) if pick.random() < 0.4}
+            if m == n:  # at most one link a node
+                pairs = set(dict(pairs).items())
+            src, dst = (np.array([p[k] for p in sorted(pairs)], np.int64) for k in (0, 1))
+            far = distances.farthest_nodes(src, dst, n, np.arange(n))
+            assert far.tolist() == [max(_distances([("p", a, b, "") for a, b in pairs], i).values()) for i in range(n)]
+
+
 def test_degrees_coupling_hotspots(spark):
     edges = [("p", "god", f"o{i}", "import") for i in range(10)] + [("p", f"i{i}", "god", "import") for i in range(5)] + [("p", "i0", "god", "import")]
     ids = {e[1] for e in edges} | {e[2] for e in edges} | {"alone"}
