@@ -110,8 +110,12 @@ def lanes(documents: Sequence[np.ndarray], shape: Shape) -> Iterator[tuple[np.nd
         yield source[part], target[part], owner[part], fresh[part]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+def _sigmoid(x: np.ndarray) -> None:
+    """The logistic function, in place."""
+    np.negative(x, out=x)
+    _bounded_exp(x)
+    x += 1
+    np.reciprocal(x, out=x)
 
 
 class Gru:
@@ -121,35 +125,61 @@ class Gru:
         self.shape = shape
         self.vector = np.array(vector, np.float32)
         self.p = unpacked(self.vector, shape)
+        self.spaces: dict[str, np.ndarray] = {}
+
+    def _space(self, name: str, *size: int) -> np.ndarray:
+        """An array kept from window to window, as fresh memory costs more than the sums in it; what it holds is old."""
+        count = int(np.prod(size))
+        if name not in self.spaces or len(self.spaces[name]) < count:
+            self.spaces[name] = np.empty(count, np.float32)
+        return self.spaces[name][:count].reshape(size)
 
     def _run(self, source: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States of a window and the last one; ``keep`` collects what the gradient needs."""
+        """States of a window and the last one; ``keep`` gets what the gradient needs: states before, gates, offered states."""
         p, h = self.p, self.shape.state
-        given = p["embed"][source] @ p["input"] + p["bias"]
-        states = np.empty((*source.shape, h), np.float32)
-        for t in range(len(source)):
-            if fresh[t].any():
+        given = np.take(p["embed"] @ p["input"] + p["bias"], source, axis=0, out=self._space("given", *source.shape, 3 * h), mode="clip")
+        states, offered, before = (self._space(name, *source.shape, h) for name in ("states", "offered", "before"))
+        gates, reset = self._space("gates", *source.shape, 2 * h), np.empty(state.shape, np.float32)
+        starts = fresh.any(axis=1).tolist()
+        for t, (gate, offer, out) in enumerate(zip(gates, offered, states)):
+            if starts[t]:
                 state = np.where(fresh[t][:, None], np.float32(0), state)
-            gate = _sigmoid(given[t, :, :2 * h] + state @ p["gates"])
-            z, r = gate[:, :h], gate[:, h:]
-            offered = np.tanh(given[t, :, 2 * h:] + (r * state) @ p["candidate"])
-            if keep is not None:
-                keep.append((state, z, r, offered))
-            state = state + z * (offered - state)
-            states[t] = state
-        return states, state
+            before[t] = state
+            np.matmul(state, p["gates"], out=gate)
+            gate += given[t, :, :2 * h]
+            _sigmoid(gate)
+            np.multiply(gate[:, h:], state, out=reset)
+            np.matmul(reset, p["candidate"], out=offer)
+            offer += given[t, :, 2 * h:]
+            # The hyperbolic tangent, by a faster function.
+            offer *= 2
+            _sigmoid(offer)
+            offer *= 2
+            offer -= 1
+            np.subtract(offer, state, out=out)
+            out *= gate[:, :h]
+            out += state
+            state = out
+        if keep is not None:
+            keep += [before, gates, offered]
+        return states, state.copy()
 
     def _classes(self, target: np.ndarray) -> np.ndarray:
         s = self.shape
         return np.where(target < s.frequent, target // s.per_class, target - s.frequent + s.word_classes)
 
-    def _word_groups(self, target: np.ndarray, cls: np.ndarray, live: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Places of frequent words by class."""
+    def _within(self, flat: np.ndarray, target: np.ndarray, cls: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]], np.ndarray, np.ndarray]:
+        """Places of frequent words by class, the runs of each class, and there the states and the logits within the class."""
         at = np.flatnonzero(live & (target < self.shape.frequent))
-        at = at[np.argsort(cls[at], kind="stable")]
-        borders = np.flatnonzero(np.diff(cls[at])) + 1
-        for group in np.split(at, borders) if len(at) else []:
-            yield int(cls[group[0]]), group
+        at = at[np.argsort(cls[at].astype(np.min_scalar_type(self.shape.classes)), kind="stable")]
+        of, seen = cls[at], np.take(flat, at, axis=0, out=self._space("seen", len(at), self.shape.state), mode="clip")
+        borders = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(at)]
+        runs = [(int(of[start]), slice(start, end)) for start, end in zip(borders, borders[1:]) if end > start]
+        logits = self._space("within", len(at), self.shape.per_class)
+        for k, run in runs:
+            np.matmul(seen[run], self.p["words"][k], out=logits[run])
+            logits[run] += self.p["word_bias"][k]
+        return at, runs, seen, logits
 
     def log10_of(self, documents: Sequence[np.ndarray]) -> np.ndarray:
         """Log10 probability of each whole document."""
@@ -160,12 +190,14 @@ class Gru:
             states, state = self._run(source, fresh, state)
             flat, goal, of = states.reshape(-1, self.shape.state), target.reshape(-1), owner.reshape(-1)
             cls = self._classes(goal)
-            logits = flat @ self.p["classes"] + self.p["class_bias"]
-            gained = logits[np.arange(len(goal)), cls] - _log_sum(logits)
-            for k, at in self._word_groups(goal, cls, of >= 0):
-                within = flat[at] @ self.p["words"][k] + self.p["word_bias"][k]
-                gained[at] += within[np.arange(len(at)), goal[at] - k * self.shape.per_class] - _log_sum(within)
+            logits = np.matmul(flat, self.p["classes"], out=self._space("logits", len(flat), self.shape.classes))
+            logits += self.p["class_bias"]
+            gained = logits[np.arange(len(goal)), cls]
+            gained -= _log_sum(logits)
             live = of >= 0
+            at, _, _, within = self._within(flat, goal, cls, live)
+            chosen = within[np.arange(len(at)), goal[at] - cls[at] * self.shape.per_class]
+            gained[at] += chosen - _log_sum(within)
             total += np.bincount(of[live], gained[live].astype(float), len(documents))
         return total / np.log(10)
 
@@ -179,40 +211,64 @@ class Gru:
         flat, goal, live = states.reshape(-1, h), target.reshape(-1), owner.reshape(-1) >= 0
         scale = np.float32(1 / max(1, live.sum()))
         cls = self._classes(goal)
-        error = _softmax(flat @ p["classes"] + p["class_bias"])
+        error = np.matmul(flat, p["classes"], out=self._space("logits", len(flat), s.classes))
+        error += p["class_bias"]
+        _softmax(error)
         error[np.arange(len(goal)), cls] -= 1
         error *= (live * scale)[:, None]
         g["classes"][:] = flat.T @ error
         g["class_bias"][:] = error.sum(axis=0)
-        back = error @ p["classes"].T
-        for k, at in self._word_groups(goal, cls, live):
-            wrong = _softmax(flat[at] @ p["words"][k] + p["word_bias"][k])
-            wrong[np.arange(len(at)), goal[at] - k * s.per_class] -= 1
-            wrong *= scale
-            g["words"][k] += flat[at].T @ wrong
-            g["word_bias"][k] += wrong.sum(axis=0)
-            back[at] += wrong @ p["words"][k].T
+        back = np.matmul(error, p["classes"].T, out=self._space("back", len(flat), h))
+        at, runs, seen, wrong = self._within(flat, goal, cls, live)
+        _softmax(wrong)
+        wrong[np.arange(len(at)), goal[at] - cls[at] * s.per_class] -= 1
+        wrong *= scale
+        pulled = self._space("pulled", len(at), h)
+        for k, run in runs:
+            np.matmul(seen[run].T, wrong[run], out=g["words"][k])
+            g["word_bias"][k] = wrong[run].sum(axis=0)
+            np.matmul(wrong[run], p["words"][k].T, out=pulled[run])
+        back[at] += pulled
         back = back.reshape(states.shape)
-        given = np.empty((*source.shape, 3 * h), np.float32)
-        flow = np.zeros_like(state)
+        before, gates, offered = keep
+        z, r = gates[:, :, :h], gates[:, :, h:]
+        # What the flow is multiplied by on its way to each part, for the whole window.
+        to_offered, to_update, to_reset, stays = (self._space(name, *source.shape, h) for name in ("to_offered", "to_update", "to_reset", "stays"))
+        np.subtract(1, z, out=stays)
+        np.multiply(offered, offered, out=to_offered)
+        np.subtract(1, to_offered, out=to_offered)
+        to_offered *= z
+        np.subtract(offered, before, out=to_update)
+        to_update *= z
+        to_update *= stays
+        np.subtract(1, r, out=to_reset)
+        to_reset *= r
+        to_reset *= before
+        given = self._space("slopes", *source.shape, 3 * h)
+        flow, through, part = np.zeros_like(state), p["gates"].T.copy(), np.empty(state.shape, np.float32)
+        candidate, d_offered, d_reset, d_gate = p["candidate"].T.copy(), np.empty(state.shape, np.float32), np.empty(state.shape, np.float32), np.empty((len(state), 2 * h), np.float32)
+        starts = fresh.any(axis=1).tolist()
         for t in range(len(source) - 1, -1, -1):
-            before, z, r, offered = keep[t]
-            flow = flow + back[t]
-            d_offered = flow * z * (1 - offered * offered)
-            d_reset = d_offered @ p["candidate"].T
-            d_gate = np.concatenate([flow * (offered - before) * z * (1 - z), d_reset * before * r * (1 - r)], axis=1)
+            flow += back[t]
+            np.multiply(flow, to_offered[t], out=d_offered)
+            np.matmul(d_offered, candidate, out=d_reset)
+            np.multiply(flow, to_update[t], out=d_gate[:, :h])
+            np.multiply(d_reset, to_reset[t], out=d_gate[:, h:])
             given[t, :, :2 * h], given[t, :, 2 * h:] = d_gate, d_offered
-            g["gates"] += before.T @ d_gate
-            g["candidate"] += (r * before).T @ d_offered
-            flow = flow * (1 - z) + d_reset * r + d_gate @ p["gates"].T
-            if fresh[t].any():
+            flow *= stays[t]
+            d_reset *= r[t]
+            flow += d_reset
+            flow += np.matmul(d_gate, through, out=part)
+            if starts[t]:
                 flow = np.where(fresh[t][:, None], np.float32(0), flow)
         given = given.reshape(-1, 3 * h)
+        g["gates"][:] = before.reshape(-1, h).T @ given[:, :2 * h]
+        g["candidate"][:] = np.multiply(r, before, out=to_reset).reshape(-1, h).T @ given[:, 2 * h:]
         seen = p["embed"][source.reshape(-1)]
         g["input"][:] = seen.T @ given
         g["bias"][:] = given.sum(axis=0)
-        pulled = given @ p["input"].T
-        order = np.argsort(source.reshape(-1), kind="stable")
+        pulled = np.matmul(given, p["input"].T, out=self._space("pulled", len(flat), s.embedding))
+        order = np.argsort(source.reshape(-1).astype(np.min_scalar_type(s.symbols)), kind="stable")
         ids = source.reshape(-1)[order]
         starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         g["embed"][ids[starts]] = np.add.reduceat(pulled[order], starts, axis=0)
@@ -220,18 +276,21 @@ class Gru:
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    return np.log(_bounded_exp(logits) @ np.ones(logits.shape[1], logits.dtype))
+    """Logarithms of the summed exponentials; the logits give place to these."""
+    _bounded_exp(logits)
+    return np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    out = _bounded_exp(logits)
-    out *= (1 / (out @ np.ones(logits.shape[1], logits.dtype)))[:, None]
-    return out
+def _softmax(logits: np.ndarray) -> None:
+    """In place."""
+    _bounded_exp(logits)
+    logits *= (1 / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
 
 
-def _bounded_exp(logits: np.ndarray) -> np.ndarray:
-    """Exponentials; clipped gradients keep logits far below the limit, which holds for any input."""
-    return np.exp(np.minimum(logits, 80))
+def _bounded_exp(logits: np.ndarray) -> None:
+    """Exponentials, in place; clipped gradients keep logits far below the limit, which holds for any input."""
+    np.minimum(logits, 80, out=logits)
+    np.exp(logits, out=logits)
 
 
 class Trainer:

@@ -214,6 +214,19 @@ def test_every_training_symbol_gives_a_gradient():
     assert trainer.symbols == sum(map(len, documents))
 
 
+def test_windows_reuse_their_arrays_and_a_state_outlives_them():
+    shape = gru.Shape(20, 4, per_class=5)
+    rng = np.random.default_rng(3)
+    model = gru.Gru(gru.first_parameters(shape, np.ones(24)), shape)
+    windows = list(gru.lanes([rng.integers(0, 24, 70) for _ in range(6)], shape))
+    state = np.zeros((windows[0][0].shape[1], shape.state), np.float32)
+    slope, last, _ = model.gradient(*windows[0], state)
+    held, kept, first = {name: id(model.spaces[name]) for name in ("given", "states", "before", "gates", "logits", "back")}, last.copy(), slope.copy()
+    model.gradient(*windows[1], last)
+    assert held == {name: id(model.spaces[name]) for name in held}
+    assert (last == kept).all() and (model.gradient(*windows[0], state)[0] == first).all()
+
+
 def test_state_carries_through_a_document_and_no_further():
     shape = gru.Shape(20, 4, per_class=5)
     model = gru.Gru(gru.first_parameters(shape, np.ones(24)), shape)
