@@ -115,3 +115,23 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a Python worker keeps from task to task: the result of ``make`` under one key, whatever lay under another goes first.
+
+    Spark uses its workers again for later stages, so without this the tables of
+    one operator would stay in memory beside all that follow.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Forget what earlier operators kept in this worker; for tasks that keep nothing themselves."""
+    _kept.clear()

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Memo, cut
+from .common import cut, release
 
 BANDS = 24
 ROWS = 6
@@ -33,8 +33,6 @@ PER_LONG = 64 // BITS
 LONGS = -(-PERMUTATIONS // PER_LONG)
 # Estimates have a standard error of about 0.04 near the threshold; four of them leave 1 link in 30,000 unseen.
 MARGIN = 0.16
-# Word hashes kept by a Python worker.
-MEMO = 400_000
 
 _random = np.random.default_rng(20_231)
 _FACTORS = (_random.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -43,9 +41,6 @@ _ODD = [np.uint64(int(x) | 1) for x in _random.integers(1, 2**63, 16)]
 _BAND_SALT = _random.integers(1, 2**63, (BANDS, ROWS)).astype(np.uint64) | np.uint64(1)
 
 
-_hashes = Memo(xxhash.xxh64_intdigest, MEMO)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _ODD[8]
     x = (x ^ (x >> np.uint64(29))) * _ODD[9]
@@ -57,7 +52,7 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     found = (text or b"").lower().split()
     if not found:
         return np.empty(0, np.uint64)
-    ids = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    ids = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
     width = min(words, len(found))
     count = len(found) - width + 1
     total = np.full(count, np.uint64(width))
@@ -82,6 +77,7 @@ def signature(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def signatures(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, n_shingles, members binary, packed, bands)``; ``members`` identifies the set by 128 bits, null if it is empty."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             sizes, names, packed, bands = [], [], [], []
             for value in batch.column(1).to_pylist():
@@ -123,6 +119,7 @@ def full_sets(wanted: DataFrame, docs: DataFrame, reps: DataFrame, words: int, t
     named = wanted.join(reps, "members").select("members", "rep")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             names, values = [], []
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

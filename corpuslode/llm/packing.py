@@ -15,14 +15,13 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator, Mapping
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from .common import extended, numbered, placed, units
+from .common import extended, kept, numbered, placed, units
 
 # Text units whose ids a Python worker keeps.
 UNITS = 900_000
@@ -54,11 +53,10 @@ class _UnitIds:
         return out
 
 
-@lru_cache(maxsize=4)
 def _unit_ids(path: str) -> _UnitIds:
-    """One per tokenizer file in each Python worker, which has one core."""
+    """One in each Python worker, which has one core, until tasks of another file or operator come."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return _UnitIds(path)
+    return kept((_UnitIds, path), lambda: _UnitIds(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

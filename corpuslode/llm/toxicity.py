@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, extended
+from .common import cut, extended, release
 
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")  # on lower-case bytes: letters, digits and all that is not ASCII
 START = b"<"  # no token
@@ -87,6 +87,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, most: int
 def bigram_table(rows: DataFrame, chunk: int = 200) -> DataFrame:
     """``(first, second, toxic, ordinary)``: documents of each class that hold a bigram; the first word follows ``START``."""
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for start in range(0, batch.num_rows, chunk):
                 part = batch.slice(start, chunk)
@@ -167,6 +168,7 @@ def _discounted(counts: np.ndarray, whole: float, backoff: np.ndarray) -> np.nda
 
 def _evidence(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([model.evidence(x) for x in batch.column(0).to_pylist()], pa.float64()), batch.column(1)],
                                              names=["evidence", "toxic"])
@@ -207,6 +209,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             scores = np.array([shared.value.score(x) for x in batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],

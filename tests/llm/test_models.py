@@ -5,14 +5,17 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuslode.llm import fingerprints, gru, language_model, near_duplicates
+from corpuslode.llm import fingerprints, gru, language_model, near_duplicates, packing
 from corpuslode.llm.common import id_crc
 
 random.seed(11)
@@ -282,6 +285,36 @@ def test_pipeline_stages(spark, documents, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "packing"]
 
 
+class Tasks:
+    """Stands for a table; gives the function that tasks run on its batches."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):
+        return function
+
+
+def test_a_worker_keeps_no_tables_of_an_earlier_stage(spark):
+    texts = [" ".join(f"a{i}x{k}" for k in range(1000)) for i in range(40)]
+
+    def batch(kind):
+        return iter([pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts).cast(kind)], names=["doc_id", "text"])])
+
+    pieces = packing.token_pieces(Tasks(), public_tokenizers.path("byte_bpe_50k.json"), 0, 1024)
+    signed = near_duplicates.signatures(Tasks(), 5)
+    tracemalloc.start()
+    try:
+        list(pieces(batch(pa.string())))
+        held = tracemalloc.get_traced_memory()[0]
+        list(signed(batch(pa.binary())))
+        left = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held > 4_000_000  # ids of 40,000 units, used again by later tasks of the same stage
+    assert left < 1_000_000
+
+
 def test_near_duplicate_stage_with_repeated_and_null_ids(spark, documents):
     z, a, b = prose(80, 901), prose(80, 902), prose(80, 903)
     docs = documents([z, z, a, a, b, b, z, a], [1, 3, 3, 9, None, None, 1, None]).select("doc_id", "text", "lang", "source", "n_chars")
