@@ -7,6 +7,7 @@ import pytest
 from corpuslode.functions import tasks as tk
 from corpuslode.functions.text import TRUNCATION_MARKER
 from corpuslode.operators import context as cx, facts
+from corpuslode.queries import context as queries, load
 
 FILES = [(f"p", f"src/{d}/{n}{i}{e}", body * (i + 1)) for i in range(4) for d, n, e, body in [
     ("services", "login", ".ts", "import x from './user0';\nlogin user token loginlogin\n" * 6), ("services", "user", ".ts", "user store error search\n" * 9),
@@ -91,6 +92,18 @@ def test_dependencies_are_bounded_by_their_budget_alone(spark):
     assert packed(dependency_limit=10) == [f"src/{n}.ts" for n in names[:10]]
 
 
+def test_query_packs_all_dependencies_that_the_budget_holds(spark, monkeypatch):
+    names = [f"part{i:02d}" for i in range(14)]
+    main = "".join(f"import {n} from './{n}';\n" for n in names) + "login " * 2000
+    rows = [("p", "src/login.ts", main)] + [("p", f"src/{n}.ts", f"export const {n} = 1;") for n in names]
+    monkeypatch.setattr(queries, "_files", lambda spark, _: spark.createDataFrame(rows, "project string, path string, content string"))
+    monkeypatch.setattr(queries, "tasks", lambda spark, _: spark.createDataFrame(
+        [("p", 1, "Fix login error in src/login.ts", 3000, "relevance")], "project string, task_id int, task string, max_tokens int, strategy string"))
+    found = load()["context_packs"].run(spark, "").filter("category = 'dependency'").collect()
+    assert sorted((r.path, r.rank) for r in found) == [(f"src/{n}.ts", i) for i, n in enumerate(names, 1)]
+    assert "rank <= 10)" not in load()["context_packs"].sql() and "rank <= 10)" in load()["context_budget_use"].sql()
+
+
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_term_matches_equal_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(cx, "INDEX_WORDS", most)
