@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslode.functions import distances
+from corpuslode.functions import components, distances
 from corpuslode.operators import graph as gr
 
 
@@ -206,3 +206,59 @@ def test_rounds_for_witness_cycles_do_not_grow_with_their_length(spark, monkeypa
     found = {r.project: r.cycle for r in gr.witness_cycles(spark.createDataFrame(ring + more + lone, "project string, src long, dst long")).collect()}
     assert found == {"p": [*range(41), 903, 904, *range(60, n), 0], "q": [*range(50), 0]}
     assert len(rounds) < 40  # a hop a node took over a hundred
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_components_and_least_cycles_of_a_task_equal_brute_force(monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    for seed in range(150):
+        pick = random.Random(seed)
+        n = pick.randrange(1, 12)
+        pairs = sorted({(pick.randrange(n), pick.randrange(n)) for _ in range(pick.randrange(2 * n + 1))} - {(i, i) for i in range(n)})
+        src, dst = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        reach = [set(_distances([("p", a, b, "") for a, b in pairs], i)) for i in range(n)]
+        found = components.component_of(src, dst, n)
+        assert found.tolist() == [min(j for j in reach[i] if i in reach[j]) for i in range(n)]
+        inside = found[src] == found[dst]
+        homes = np.flatnonzero(np.bincount(found, minlength=n) > 1)
+        cycles = components.least_cycles(src[inside], dst[inside], n, homes)
+        for home, cycle in zip(homes.tolist(), cycles, strict=True):
+            through = [(*p, home) for p in _paths({p for p in pairs}, home, n) if (p[-1], home) in pairs]
+            assert tuple(cycle) == min(through, key=lambda c: (len(c), c))
+
+
+def _paths(pairs, home, n):
+    out = paths = [(home,)]
+    for _ in range(n - 1):
+        paths = [(*p, b) for p in paths for a, b in pairs if a == p[-1] and b not in p]
+        out = out + paths
+    return out[1:]
+
+
+@pytest.mark.parametrize("links", [0, 1 << 21])
+def test_components_and_witnesses_by_size_of_a_project(spark, monkeypatch, links):
+    """In a task, or labelled and walked as a whole; a null project and null ends are on no cycle."""
+    monkeypatch.setattr(gr, "TASK_LINKS", links)
+    ring = [("p", f"n{i:02d}", f"n{(i + 1) % 20:02d}") for i in range(20)] + [("p", "n03", "n12"), ("p", "n15", "n02"), ("p", "x", "n01"), ("p", "n07", "y")]
+    more = [("q", "a", "b"), ("q", "b", "c"), ("q", "c", "a"), ("q", "c", "d"), ("q", "d", "b"), ("q", "e", "f"), ("q", "f", "e"), ("q", "g", "g")]
+    odd = [(None, "a", "b"), (None, "b", "a"), ("q", None, "a"), ("q", "a", None)]
+    edges = spark.createDataFrame((ring + more + odd) * 2, "project string, src string, dst string")
+    got = {(r.project, r.id): r.component for r in gr.strong_components(edges).collect()}
+    want = {("p", f"n{i:02d}"): "n00" for i in range(20)} | {("q", i): "a" for i in "abcd"} | {("q", "e"): "e", ("q", "f"): "e"}
+    assert got == want
+    found = sorted((r.project, r.cycle) for r in gr.witness_cycles(edges.distinct()).collect())
+    assert found == [("p", ["n00", "n01", "n02", "n03", *[f"n{i}" for i in range(12, 20)], "n00"]), ("q", ["a", "b", "c", "a"])]
+
+
+def test_components_of_a_long_ring_take_few_writes(spark, monkeypatch):
+    written = []
+    for name in ("cut", "stored"):
+        plain = getattr(gr, name)
+        monkeypatch.setattr(gr, name, lambda df, plain=plain: written.append(1) or plain(df))
+    n = 3000
+    edges = spark.range(n).selectExpr("'p' AS project", "id AS src", f"(id + 1) % {n} AS dst").unionByName(
+        spark.range(n // 3).selectExpr("'p' AS project", "id * 3 AS src", f"(id * 3 + 2) % {n} AS dst"))
+    assert gr.strong_components(edges).groupBy("component").count().collect()[0].asDict() == {"component": 0, "count": n}
+    assert len(written) < 8  # labels by hops and contraction wrote dozens of tables
+    assert [r.length for r in gr.cycles(edges).collect()] == [n * 2 // 3]
+    assert len(written) < 24
