@@ -262,3 +262,16 @@ def test_components_of_a_long_ring_take_few_writes(spark, monkeypatch):
     assert len(written) < 8  # labels by hops and contraction wrote dozens of tables
     assert [r.length for r in gr.cycles(edges).collect()] == [n * 2 // 3]
     assert len(written) < 24
+
+
+def test_circular_edges_of_a_long_ring_take_few_writes(spark, monkeypatch):
+    written = []
+    for name in ("cut", "stored"):
+        plain = getattr(gr, name)
+        monkeypatch.setattr(gr, name, lambda df, plain=plain: written.append(1) or plain(df))
+    n = 1000
+    edges = spark.range(n).selectExpr("'p' AS project", "id AS src", f"(id + 1) % {n} AS dst").unionByName(
+        spark.range(n // 2).selectExpr("'p' AS project", f"id + {n} AS src", "id AS dst"))
+    flags = gr.circular_edges(edges, gr.strong_components(edges)).groupBy("circular").count().collect()
+    assert {r.circular: r["count"] for r in flags} == {True: n, False: n // 2}
+    assert len(written) < 8  # rounds of contraction and labels wrote dozens of tables
